@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, decontaminate, imatch, mixing, pii, quality, simhash, url_filter, warc
+from . import brown, decontaminate, imatch, mixing, pii, quality, simhash, suffix_dedup, url_filter, warc
 from .common import table
 
 #: fixed values: the url rules as (verdict, host, path)
@@ -26,6 +26,10 @@ def op2_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), texts=False).drop("kept")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -59,4 +63,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_brown_lm, op4_simhash, op5_pii, op6_imatch, op7_warc, op8_decontaminate, op9_mix, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_brown_lm, op3_suffix_dedup, op4_simhash, op5_pii, op6_imatch, op7_warc, op8_decontaminate, op9_mix, op10_quality)}
