@@ -3,10 +3,11 @@
 A 64-bit fingerprint is cut into two segments of 32 bits: two fingerprints that
 differ in at most two bits have a segment that differs in at most one. Every
 fingerprint is indexed under the 64 values of its segments with one bit wildcarded,
-and equal keys are candidates. A small bucket is verified pair by pair, each pair in
-one bucket only. A bucket of more than ``window`` fingerprints is cut again by
-wildcards in the other segment, until equal keys prove a link, and its members are
-linked to the smallest of them; so nothing is capped and no bucket gives all its pairs.
+and equal keys are candidates. A bucket of up to ``held`` fingerprints is verified in its task,
+which hands on one link for each member, to the smallest fingerprint that it reaches in
+the bucket. A larger bucket is cut again by wildcards in the open bits, until equal keys
+prove a link, and its members are linked to the smallest of them; so nothing is capped
+and no bucket gives all its pairs.
 
 Equal fingerprints are folded before, so copies cost one row each. Components are
 found over distinct fingerprints.
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, connected, keep
+from .common import as_bytes, connected, keep, out_batches
 
 SEED = 42
 
@@ -75,32 +76,87 @@ def _variants(fps: DataFrame) -> DataFrame:
     return fps.select("fp", F.explode(F.expr(both)).alias("key"))
 
 
-def links(fps: DataFrame, window: int = 64) -> DataFrame:
-    """(a, b): links of the distinct ``fps`` (fp) at two or fewer differing bits, enough to connect all that are linked."""
-    w = Window.partitionBy("key").orderBy("fp")
-    by_key = _variants(fps).withColumns({"rank": F.row_number().over(w), "after": F.collect_list("fp").over(w.rowsBetween(1, window))})
-    small = keep(by_key.where("size(after) > 0"), "simhash-buckets")
+#: Flips of one or two of 33 bits: those a bucket leaves open, as positions of the segment's wildcard (0) and of the other segment.
+_ONE = np.array([1 << i for i in range(33)], np.uint64)
+_FLIPS = np.concatenate([_ONE, np.array([(1 << i) | (1 << j) for i in range(33) for j in range(i)], np.uint64)])
+
+
+def _roots(fps: np.ndarray, key: int) -> np.ndarray:
+    """For the sorted fingerprints of a bucket the smallest of those linked to each, over any number of links within it."""
+    n = len(fps)
+    u = fps.view(np.uint64)
+    if n <= 256:
+        a, b = np.nonzero(np.bitwise_count(u[:, None] ^ u[None, :]) <= 2)
+    else:
+        which, bit = key >> 37, np.uint64((key >> 32) & 31)
+        own, other = (np.uint64(0), np.uint64(32)) if which == 0 else (np.uint64(32), np.uint64(0))
+        open_bits = ((u >> (own + bit)) & np.uint64(1)) | (((u >> other) & np.uint64(0xFFFFFFFF)) << np.uint64(1))
+        order = np.argsort(open_bits)
+        ordered = open_bits[order]
+        ends = []
+        for at in range(0, n, 1024):
+            to = open_bits[at : at + 1024, None] ^ _FLIPS[None, :]
+            i = np.minimum(np.searchsorted(ordered, to), n - 1)
+            x, y = np.nonzero(ordered[i] == to)
+            ends.append(np.stack([x + at, order[i[x, y]]]))
+        a, b = np.concatenate(ends, axis=1)
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, a, root[b])
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
+
+
+def links(fps: DataFrame, held: int = 8192) -> DataFrame:
+    """(a, b): links of the distinct ``fps`` (fp) at two or fewer differing bits, enough to connect all that are linked.
+
+    A bucket of up to ``held`` fingerprints is searched in its task, and each member linked to the smallest
+    that it reaches there. Larger ones are cut by wildcards in the open bits, in Spark.
+    """
+    by_key = _variants(fps).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, part, found = None, [], []
+
+        def solved() -> None:
+            if len(part) > 1:
+                u = np.sort(np.array(part, np.int64))
+                root = _roots(u, key)
+                at = np.flatnonzero(root != np.arange(len(u)))
+                found.extend(zip(u[at].tolist(), u[root[at]].tolist(), [None] * len(at)))
+
+        for b in batches:
+            for k, fp, n in zip(*(b.column(c).to_pylist() for c in ("key", "fp", "n"))):
+                if n > held:
+                    found.append((fp, fp, k))
+                    continue
+                if k != key:
+                    solved()
+                    key, part = k, []
+                part.append(fp)
+            yield from out_batches(found, schema)
+            found.clear()
+        solved()
+        yield from out_batches(found, schema)
+
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
+    solved = keep(by_key.mapInArrow(run, "a long, b long, key long"), "simhash-buckets")
+    big = solved.where("key is not null").select(F.col("a").alias("fp"), "key")
     which, bit = "shiftrightunsigned(key, 37)", "(shiftrightunsigned(key, 32) & 31)"
-    # a row with `window` rows after it is in a bucket of more than `window`
-    big = small.where(F.size("after") >= window).select("key").distinct()
-    pairs = small.join(big, "key", "left_anti").select("key", "fp", F.explode("after").alias("to")).selectExpr("key", "fp", "`to`", "fp ^ `to` as x")
-    # each pair once: under the bit in which its segment differs, or bit 0 where that is equal; the upper segment only if the lower gives none
-    low, high = "(x & 4294967295L)", "shiftrightunsigned(x, 32)"
-    first = f"{which} = 0 and if({low} = 0, {bit} = 0, {low} = shiftleft(1L, cast({bit} as int)))"
-    second = f"{which} = 1 and bit_count({low}) > 1 and if({high} = 0, {bit} = 0, {high} = shiftleft(1L, cast({bit} as int)))"
-    near = pairs.where(f"bit_count(x) <= 2 and (({first}) or ({second}))").select(F.col("fp").alias("a"), F.col("to").alias("b"))
-    # large buckets: the last row of each was dropped above as nothing follows it, so its members come from the keys again
-    full = _variants(fps).join(big, "key")
     other = f"if({which} = 0, {_HIGH}, {_LOW})"
     own = f"if({which} = 0, {_LOW}, {_HIGH})"
-    one = full.select("fp", "key", F.expr("-1L").alias("exact"), F.explode(F.expr(f"transform(sequence(0, 31), k -> ({other} & ~shiftleft(1L, k)) | shiftleft(cast(k as bigint), 32))")).alias("rest"))
-    two = full.where(f"{bit} = 0").select(
+    # the segment but for its wildcard and one wildcard in the other; or the whole segment and two wildcards in the other, under bit 0 only
+    one = big.select("fp", "key", F.expr("-1L").alias("exact"), F.explode(F.expr(f"transform(sequence(0, 31), k -> ({other} & ~shiftleft(1L, k)) | shiftleft(cast(k as bigint), 32))")).alias("rest"))
+    two = big.where(f"{bit} = 0").select(
         "fp", "key", F.expr(own).alias("exact"),
         F.explode(F.expr(f"flatten(transform(sequence(0, 30), k -> transform(sequence(k + 1, 31), l -> ({other} & ~shiftleft(1L, k) & ~shiftleft(1L, l)) | shiftleft(cast(k * 32 + l as bigint), 32))))")).alias("rest"),
     )
     cut = one.unionAll(two)
     stars = cut.join(cut.groupBy("key", "exact", "rest").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), ["key", "exact", "rest"]).where("fp <> b").select(F.col("fp").alias("a"), "b")
-    return near.unionAll(stars.distinct())
+    return solved.where("key is null").select("a", "b").unionAll(stars).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
