@@ -17,7 +17,7 @@ the tasks is bounded.
 Defined results: null is an empty text. Texts without lexicon terms get a hash of
 the whole text in place of the subsets, so equal texts have equal fingerprints, and
 texts of that kind are alike only if equal. The next document goes by descending
-doc_id, ties by text; after the last comes the first; a single document is its own
+doc_id, ties by a hash of the text; after the last comes the first; a single document is its own
 next. Rows with a null doc_id come last.
 """
 
@@ -30,8 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from .common import as_bytes, keep
 
@@ -40,6 +43,7 @@ RATES = (4, 16, 64, 128, 256, 512)
 EACH = 5
 WIDTH = 8
 SEED = 7
+_SUBSETS = np.arange(len(RATES) * EACH, dtype=np.uint32)
 
 
 def terms_of(raw: bytes) -> set[bytes]:
@@ -73,22 +77,24 @@ class Lexicon:
                 bits |= ((own % np.uint64(rate)) == 0).astype(np.uint32) << np.uint32(i * EACH + j)
         self.bits = bits
 
-    def fingerprint(self, raw: bytes, terms: set[bytes]) -> tuple[str, int]:
+    def fingerprint(self, raw: bytes) -> tuple[str, int]:
         """The hashes as text, and the subsets in which the text has terms."""
         get = self.number.get
-        at = sorted(i for i in map(get, terms) if i is not None)
+        at = [i for i in map(get, terms_of(raw)) if i is not None]
         if not at:
             return hashlib.sha256(raw).hexdigest(), 0
-        idx = np.array(at)
-        h, bits = self.hash[idx], self.bits[idx]
-        out, have = [], 0
-        for j in range(len(RATES) * EACH):
-            own = h[(bits >> np.uint32(j)) & np.uint32(1) == 1]
-            if len(own):
+        idx = np.sort(np.array(at))
+        subset, term = np.nonzero((self.bits[idx] >> _SUBSETS[:, None]) & np.uint32(1))
+        hashes = self.hash[idx][term].tobytes()  # term hashes in term order, subset after subset
+        ends = np.cumsum(np.bincount(subset, minlength=len(_SUBSETS))).tolist()
+        out, have, start = [], 0, 0
+        for j, end in enumerate(ends):
+            if end > start:
                 have |= 1 << j
-                out.append(f"{xxhash.xxh32_intdigest(own.tobytes(), SEED):08x}")
+                out.append("%08x" % xxhash.xxh32_intdigest(hashes[8 * start : 8 * end], SEED))
             else:
                 out.append("0" * WIDTH)
+            start = end
         return "".join(out), have
 
 
@@ -134,8 +140,16 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def with_next(docs: DataFrame, parts: int, job, schema: str) -> DataFrame:
-    """``job(doc_id, text, next text)`` for each row in descending doc_id, in one shuffle of the texts.
+def _slots(docs: DataFrame, parts: int) -> list[int]:
+    """For each partition a number that Spark's hash partitioning deals to it, so that ranges do not share partitions."""
+    found: dict[int, int] = {}
+    for r in docs.sparkSession.range(40 * parts + 200).select("id", F.expr(f"pmod(hash(id), {parts})").alias("p")).groupBy("p").agg(F.min("id").alias("id")).collect():  # parts rows
+        found[r["p"]] = r["id"]
+    return [found.get(p, p) for p in range(parts)]
+
+
+def with_next(docs: DataFrame, parts: int, prepare, job, schema: str) -> DataFrame:
+    """``job(held, following)`` for each row in descending doc_id, both (doc_id, text, prepare(text)), in one shuffle of the compressed texts.
 
     The rows are dealt into ranges of doc_id and sorted within each. The first row
     of each range is also sent to the range before it, where it only serves as next
@@ -143,49 +157,67 @@ def with_next(docs: DataFrame, parts: int, job, schema: str) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     cuts = _bounds(rows, parts)
-    least = -(1 << 63)
+    least = F.lit(-(1 << 63))
     # range r holds doc_id from cuts[r - 1] up to below cuts[r]; nulls stand below all
-    area = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>"), lambda c: c <= F.coalesce("doc_id", F.lit(least))))
+    area = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>"), lambda c: c <= F.coalesce("doc_id", least)))
     rows = rows.withColumn("area", area)
-    # of each range the row that comes first: largest doc_id, then smallest text; few rows
-    first = rows.groupBy("area").agg(F.max(F.coalesce("doc_id", F.lit(least))).alias("top"))
+    # of each range the row that comes first: largest doc_id; few rows
+    first = rows.groupBy("area").agg(F.max(F.coalesce("doc_id", least)).alias("top"))
     tops = sorted((r["area"], r["top"]) for r in first.collect())  # one row for each range
     if not tops:
         return rows.sparkSession.createDataFrame([], schema)
     to = {top: tops[(i + 1) % len(tops)][0] for i, (_, top) in enumerate(tops)}  # its text serves the range above
-    head = rows.where(F.coalesce("doc_id", F.lit(least)).isin(*to)).groupBy("doc_id").agg(F.min("text").alias("text"))
-    goal = F.create_map(*[F.lit(x) for kv in to.items() for x in kv])[F.coalesce("doc_id", F.lit(least))]
+    head = rows.where(F.coalesce("doc_id", least).isin(*to)).groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    goal = F.create_map(*[F.lit(x) for kv in to.items() for x in kv])[F.coalesce("doc_id", least)]
     tails = head.select("doc_id", "text", goal.alias("area"), F.lit(1).alias("tail"))
-    dealt = rows.withColumn("tail", F.lit(0)).unionByName(tails).repartition(max(parts, 1), "area").sortWithinPartitions("area", "tail", F.desc_nulls_last("doc_id"), "text")
+    slots = F.array(*[F.lit(s).cast("long") for s in _slots(docs, parts)])
+    dealt = _packed(rows.withColumn("tail", F.lit(0)).unionByName(tails).withColumn("mark", F.xxhash64("text"))).withColumn("slot", F.get(slots, F.col("area") % parts))
+    dealt = dealt.repartition(parts, "slot").sortWithinPartitions("area", "tail", F.desc_nulls_last("doc_id"), "mark").select("doc_id", "area", "tail", "packed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        unpack = zstandard.ZstdDecompressor().decompress
+        held, inside = None, None
+        out: list[tuple] = []
         for b in batches:
-            out = []
-            for d, t, a, tail in zip(*(b.column(n).to_pylist() for n in ("doc_id", "text", "area", "tail"))):
-                if held is not None and held[2] == a:
-                    out.append(job(held[0], held[1], t))
-                held = None if tail else (d, t, a)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+            for d, a, tail, z in zip(*(b.column(n).to_pylist() for n in ("doc_id", "area", "tail", "packed"))):
+                text = unpack(z).decode()
+                now = (d, text, prepare(text))
+                if held is not None and inside == a:
+                    out.append(job(held, now))
+                held, inside = (None if tail else now), a
+                if len(out) >= 1000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
     return dealt.mapInArrow(run, schema)
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """``rows`` with the text compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("doc_id", "area", "tail", "mark")), pa.array([pack(t) for t in as_bytes(b.column("text"))], pa.binary())], names=["doc_id", "area", "tail", "mark", "packed"])
+
+    return rows.select("doc_id", "area", "tail", "mark", "text").mapInArrow(run, "doc_id long, area int, tail int, mark long, packed binary")
+
+
 def fingerprints(docs: DataFrame, *, rare: float = 0.001, common: float = 0.1, parts: int | None = None) -> DataFrame:
     """The row of each document: its fingerprint, that of its edited text, and likenesses."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(lexicon(docs, rare=rare, common=common))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def job(doc_id, text, following):
-        lex = sent.value
-        new = edited(text, following)
-        own, other, nxt = (lex.fingerprint(r, terms_of(r)) for r in (text.encode(), new.encode(), following.encode()))
-        return doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), own[0], other[0], likeness(own, other), likeness(own, nxt)
+    def prepare(text):
+        return sent.value.fingerprint(text.encode())
+
+    def job(own, following):
+        new = edited(own[1], following[1]).encode()
+        other = sent.value.fingerprint(new)
+        return own[0], len(own[1]), hashlib.sha256(new).hexdigest(), own[2][0], other[0], likeness(own[2], other), likeness(own[2], following[2])
 
-    return with_next(docs, parts, job, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(docs, parts, prepare, job, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
