@@ -41,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bwt
@@ -153,7 +153,8 @@ def write_shards(docs: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     listed = keep(rows.mapInArrow(run, "path string"), "shard-paths")
-    return keep(listed.select("path", F.monotonically_increasing_id().alias("shard")), "shard-list")
+    # one row for each shard of 64 MB: few enough to number in one window
+    return keep(listed.select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("shard")), "shard-list")
 
 
 def _texts(path: str) -> Iterator[tuple[int | None, bytes]]:
