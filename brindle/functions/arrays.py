@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vectorized import vectorized
+
 
 def union(a: Column, b: Column) -> Column:
     return F.array_union(a, b)
@@ -141,7 +143,7 @@ def json_keys(text: Column) -> Column:
 def _per_json(fn):
     """A vectorised UDF over JSON text: null for null or bad JSON."""
 
-    @F.pandas_udf("string")
+    @vectorized("string")
     def run(text: pd.Series) -> pd.Series:
         def one(t):
             try:
@@ -185,7 +187,7 @@ json_flatten = _per_json(_flat)
 json_unflatten = _per_json(_nested)
 
 
-@F.pandas_udf("string")
+@vectorized("string")
 def json_merge(base: pd.Series, override: pd.Series) -> pd.Series:
     """Objects merged at every level; the override wins."""
     return pd.Series([None if a is None or b is None else json.dumps(_deep(json.loads(a), json.loads(b)), ensure_ascii=False, separators=(",", ":")) for a, b in zip(base, override)], dtype=object)
@@ -207,7 +209,7 @@ def _changes(a, b, path: str = "") -> list[dict]:
     return [] if a == b else [{"path": path, "kind": "changed", "old": a, "new": b}]
 
 
-@F.pandas_udf("array<struct<path: string, kind: string, old: string, new: string>>")
+@vectorized("array<struct<path: string, kind: string, old: string, new: string>>")
 def json_diff(old: pd.Series, new: pd.Series) -> pd.Series:
     def one(a, b):
         rows = _changes(json.loads(a), json.loads(b))

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vectorized import vectorized
+
 
 def md5(s: Column) -> Column:
     return F.md5(s.cast("binary"))
@@ -51,13 +53,23 @@ def to_base64url(s: Column) -> Column:
 
 
 def _text(fn, kind: str):
-    @F.pandas_udf(kind)
+    @vectorized(kind)
     def run(s: pd.Series) -> pd.Series:
         return pd.Series([None if x is None else fn(x) for x in s], dtype=object)
 
     return run
 
 
+def _record(fn, kind: str):
+    """For results of several fields."""
+
+    @vectorized(kind)
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([fn(x or "") for x in s])
+
+    return run
+
+
 def _fold(seed: int, step):
     def run(s: str) -> int:
         h = seed
@@ -130,7 +142,7 @@ base58 = _text(_base58, "string")
 from_base58 = _text(_from_base58, "string")
 
 
-@F.pandas_udf("string")
+@vectorized("string")
 def hmac_sha256(message: pd.Series, key: pd.Series) -> pd.Series:
     return pd.Series([None if m is None or k is None else _hmac.new(k.encode(), m.encode(), "sha256").hexdigest() for m, k in zip(message, key)], dtype=object)
 
@@ -187,7 +199,7 @@ def _move_to_front(s: str) -> list[int]:
     return out
 
 
-bwt = _text(_bwt, "struct<transformed: string, index: int>")
+bwt = _record(_bwt, "struct<transformed: string, index: int>")
 move_to_front = _text(_move_to_front, "array<int>")
 
 
@@ -244,10 +256,10 @@ def _huffman(s: str) -> dict:
 
 
 #: The bits as text, and the code of each character.
-huffman_encode = _text(_huffman, "struct<bits: string, codes: map<string, string>>")
+huffman_encode = _record(_huffman, "struct<bits: string, codes: map<string, string>>")
 
 
-@F.pandas_udf("string")
+@vectorized("string")
 def huffman_decode(bits: pd.Series, codes: pd.Series) -> pd.Series:
     def one(b: str, table) -> str:
         back = {v: k for k, v in dict(table).items()}

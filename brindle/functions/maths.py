@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .vectorized import vectorized
+
 
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
@@ -71,7 +73,7 @@ def primes_up_to(spark, limit: int) -> DataFrame:
     return spark.range(2, limit + 1).withColumnRenamed("id", "n").where(is_prime(F.col("n")))
 
 
-@F.pandas_udf("array<long>")
+@vectorized("array<long>")
 def prime_factors(n: pd.Series) -> pd.Series:
     def one(x: int) -> list[int]:
         out, d = [], 2
@@ -209,7 +211,7 @@ def matrix_trace(a: DataFrame) -> DataFrame:
 
 
 def _dense(fn, kind: str):
-    @F.pandas_udf(kind)
+    @vectorized(kind)
     def run(m: pd.Series) -> pd.Series:
         return pd.Series([None if x is None else fn(np.array([np.asarray(r, float) for r in x])) for x in m])
 
@@ -226,7 +228,7 @@ inverse = _dense(_inverse, "array<array<double>>")
 rank = _dense(lambda m: int(np.linalg.matrix_rank(m)), "int")
 
 
-@F.pandas_udf("array<double>")
+@vectorized("array<double>")
 def fft_magnitudes(signal: pd.Series) -> pd.Series:
     """Of the signal padded with zeros to a power of two."""
     def one(x) -> list[float]:

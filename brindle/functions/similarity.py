@@ -5,6 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from .vectorized import vectorized
+
 
 def _jaro(a: str, b: str) -> float:
     if a == b:
@@ -75,12 +77,12 @@ def _pairs(fn, a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else fn(x, y) for x, y in zip(a, b)])
 
 
-@F.pandas_udf("double")
+@vectorized("double")
 def jaro(a: pd.Series, b: pd.Series) -> pd.Series:
     return _pairs(_jaro, a, b)
 
 
-@F.pandas_udf("double")
+@vectorized("double")
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaro, raised by a tenth of the rest for each of up to four equal first characters."""
 
@@ -94,22 +96,22 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return _pairs(one, a, b)
 
 
-@F.pandas_udf("int")
+@vectorized("int")
 def damerau_levenshtein(a: pd.Series, b: pd.Series) -> pd.Series:
     return _pairs(_damerau, a, b)
 
 
-@F.pandas_udf("string")
+@vectorized("string")
 def longest_common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
     return _pairs(_subsequence, a, b)
 
 
-@F.pandas_udf("string")
+@vectorized("string")
 def longest_common_substring(a: pd.Series, b: pd.Series) -> pd.Series:
     return _pairs(_substring, a, b)
 
 
-@F.pandas_udf("double")
+@vectorized("double")
 def word_error_rate(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     """Word edits over the reference's words; 0 for two empty texts, 1 for an empty reference beside words."""
 
@@ -127,7 +129,7 @@ def word_error_rate(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     return _pairs(one, reference, hypothesis)
 
 
-@F.pandas_udf("double")
+@vectorized("double")
 def cosine_characters(a: pd.Series, b: pd.Series) -> pd.Series:
     """Cosine of the counts of character pairs."""
     from collections import Counter

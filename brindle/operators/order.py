@@ -15,9 +15,8 @@ def global_index(df: DataFrame, *order: str, name: str = "index") -> DataFrame:
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.col(order[0])
-    numeric = df.select(key.cast("double").alias("_k")) if dict(df.dtypes)[order[0]] != "timestamp" else df.select(F.unix_micros(key).cast("double").alias("_k"))
-    cuts = sorted(set(numeric.approxQuantile("_k", [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
-    as_double = key.cast("double") if dict(df.dtypes)[order[0]] != "timestamp" else F.unix_micros(key).cast("double")
+    as_double = F.unix_micros(key.cast("timestamp")).cast("double") if dict(df.dtypes)[order[0]].startswith("timestamp") else key.cast("double")
+    cuts = sorted(set(df.select(as_double.alias("_k")).approxQuantile("_k", [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
     area = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= as_double)) if cuts else F.lit(0)
     ranged = df.withColumn("_area", F.coalesce(area, F.lit(-1)))
     # one row for each range

@@ -1,6 +1,8 @@
-"""Queries and their SQL, by name."""
+"""All queries of the engine proper and their SQL, by name."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans import relational, scalars, searching, series, statistics, structures  # noqa: F401  (they register)
+from .plans.base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
