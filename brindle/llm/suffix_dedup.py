@@ -49,7 +49,7 @@ from .common import as_bytes, keep, new_path
 
 SHARD_BYTES = 64 << 20
 #: Symbols of a batch of families, and the codes past the byte values: the sentinel, and the first core.
-BATCH, SENTINEL, CORE = 1 << 20, 256, 257
+BATCH, SENTINEL, CORE = 1 << 16, 256, 257
 _MASK = np.uint64(0xFFFFFFFF)
 
 
