@@ -99,6 +99,20 @@ def contexts(text: str, start: int, end: int) -> list[str]:
     return [f"w {one} _ {after[0] if after else '$'}", f"l {two} {one}", f"f {one} {form(text[start:end])[:24]}"]
 
 
+def instances(text: str, spans: list[Span]) -> list[tuple[int, int]]:
+    """Bounds of the tokens of five characters or more that no base span meets, without marks at their ends."""
+    taken = sorted((x, y) for _, x, y in spans)
+    out, i = [], 0
+    for m in TOKEN.finditer(text):
+        x = m.start()
+        y = x + len(m[0].rstrip(".:!?*#$%&-"))
+        while i < len(taken) and taken[i][1] <= x:
+            i += 1
+        if y - x >= 5 and not any(p < y and x < q for p, q in taken[i : i + 3]):
+            out.append((x, y))
+    return out
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Base spans of each row, and its instances: token, bounds, base kind or null, patterns."""
     inst = pa.struct([("token", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("kind", pa.string()), ("patterns", pa.list_(pa.string()))])
@@ -106,19 +120,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans_out, found_out = [], []
         for t in b.column("text").to_pylist():
             spans = base_spans(t) if t else []
-            found = [{"token": t[x:y].lower(), "start": x, "stop": y, "kind": k, "patterns": contexts(t, x, y)} for k, x, y in spans]
-            if t:
-                taken = sorted((x, y) for _, x, y in spans)
-                i = 0
-                for m in TOKEN.finditer(t):
-                    x, y = m.span()
-                    y = x + len(m[0].rstrip(".:!?*#$%&-"))
-                    while i < len(taken) and taken[i][1] <= x:
-                        i += 1
-                    if y - x >= 5 and not any(p < y and x < q for p, q in taken[i : i + 3]):
-                        found.append({"token": t[x:y].lower(), "start": x, "stop": y, "kind": None, "patterns": contexts(t, x, y)})
+            found = [*spans, *((None, x, y) for x, y in (instances(t, spans) if t else ()))]
             spans_out.append([{"kind": k, "start": x, "stop": y} for k, x, y in spans])
-            found_out.append(found)
+            found_out.append([{"token": t[x:y].lower(), "start": x, "stop": y, "kind": k, "patterns": contexts(t, x, y)} for k, x, y in found])
         span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())])
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(spans_out, pa.list_(span)), pa.array(found_out, pa.list_(inst))], names=["doc_id", "base", "found"])
 
@@ -146,17 +150,24 @@ def confident(found: DataFrame, *, rounds: int, least: float, support: int) -> D
     return patterns.where(F.col("conf") >= least).groupBy("pattern").agg(F.max_by("kind", F.struct("conf", "kind")).alias("kind"))
 
 
-def spans(docs: DataFrame, *, rounds: int = 3, least: float = 0.8, support: int = 4) -> DataFrame:
-    """``doc_id``, ``base`` and ``more`` (arrays of kind, start, stop) for each row of ``docs`` (doc_id, text), and row, its number."""
+_SPANS = "array<struct<kind: string, start: bigint, stop: bigint>>"
+_INSTANCES = "array<struct<token: string, start: bigint, stop: bigint, kind: string, patterns: array<string>>>"
+
+
+def _learned(docs: DataFrame, rounds: int, least: float, support: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The scanned rows (row, doc_id, base, found), their occurrences, and the confident patterns, all but the second kept."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    one = "array<struct<kind: string, start: bigint, stop: bigint>>"
-    inst = "array<struct<token: string, start: bigint, stop: bigint, kind: string, patterns: array<string>>>"
-    seen = keep(docs.select("doc_id", "text").mapInArrow(_scan, f"doc_id {kind}, base {one}, found {inst}").withColumn("row", F.monotonically_increasing_id()), "pii")
+    seen = keep(docs.select("doc_id", "text").mapInArrow(_scan, f"doc_id {kind}, base {_SPANS}, found {_INSTANCES}").withColumn("row", F.monotonically_increasing_id()), "pii")
     found = seen.select("row", F.explode("found").alias("x")).select("row", "x.*")
-    good = keep(confident(found.select("token", "kind", "patterns"), rounds=rounds, least=least, support=support), "pii-patterns")
+    return seen, found, keep(confident(found.select("token", "kind", "patterns"), rounds=rounds, least=least, support=support), "pii-patterns")
+
+
+def spans(docs: DataFrame, *, rounds: int = 3, least: float = 0.8, support: int = 4) -> DataFrame:
+    """``doc_id``, ``base`` and ``more`` (arrays of kind, start, stop) for each row of ``docs`` (doc_id, text), and row, its number."""
+    seen, found, good = _learned(docs, rounds, least, support)
     new = found.where("kind is null").select("row", "start", "stop", F.explode(F.array_distinct("patterns")).alias("pattern")).join(good, "pattern")
     more = new.groupBy("row", "start", "stop").agg(F.min("kind").alias("kind")).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "stop"))).alias("more"))
-    return seen.select("row", "doc_id", "base").join(more, "row", "left").withColumn("more", F.coalesce("more", F.array().cast(one)))
+    return seen.select("row", "doc_id", "base").join(more, "row", "left").withColumn("more", F.coalesce("more", F.array().cast(_SPANS)))
 
 
 def found_table(docs: DataFrame, **how) -> DataFrame:
@@ -177,27 +188,56 @@ def found_table(docs: DataFrame, **how) -> DataFrame:
     return spans(docs, **how).select("doc_id", "base", "more").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
-def redact(docs: DataFrame, **how) -> DataFrame:
+def redact(docs: DataFrame, *, rounds: int = 3, least: float = 0.8, support: int = 4, sent_patterns: int = 100_000) -> DataFrame:
     """``docs`` (doc_id, text and others) with each span of text replaced by its kind in brackets; overlapping spans become one.
 
-    One pass numbers the rows of a written copy, so that spans meet their row whatever its doc_id.
+    Up to ``sent_patterns`` confident patterns are sent to the tasks, which apply them in one pass over the
+    texts; more than that are joined to the spans, and these to a numbered copy of the rows.
     """
-    held = keep(docs.withColumn("_row", F.monotonically_increasing_id()), "pii-docs")
-    found = spans(held.select(F.col("_row").alias("doc_id"), "text"), **how).select(F.col("doc_id").alias("_row"), F.concat("base", "more").alias("_spans")).where("size(_spans) > 0")
     names, schema = docs.columns, docs.schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts_in(b: pa.RecordBatch, texts: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else b.column(n) for n in names], names=names)
+
+    _, _, good = _learned(docs, rounds, least, support)
+    if good.count() <= sent_patterns:
+        sent = docs.sparkSession.sparkContext.broadcast({r["pattern"]: r["kind"] for r in good.toLocalIterator()})
+
+        def one(t: str | None) -> str | None:
+            if not t:
+                return t
+            spans = base_spans(t)
+            if sent.value:
+                for x, y in instances(t, spans):
+                    kinds = [k for k in map(sent.value.get, contexts(t, x, y)) if k]
+                    if kinds:
+                        spans.append((min(kinds), x, y))
+            return replaced(t, spans) if spans else t
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
+                    yield texts_in(part, [one(t) for t in part.column("text").to_pylist()])
+
+        return docs.mapInArrow(run, schema)
+
+    held = keep(docs.withColumn("_row", F.monotonically_increasing_id()), "pii-docs")
+    both = spans(held.select(F.col("_row").alias("doc_id"), "text"), rounds=rounds, least=least, support=support)
+    found = both.select(F.col("doc_id").alias("_row"), F.concat("base", "more").alias("_spans")).where("size(_spans) > 0")
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [replaced(t, s) if s else t for t, s in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else b.column(n) for n in names], names=names)
+            for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
+                rows = zip(part.column("text").to_pylist(), part.column("_spans").to_pylist())
+                yield texts_in(part, [replaced(t, [(s["kind"], s["start"], s["stop"]) for s in f]) if f else t for t, f in rows])
 
-    return held.join(found, "_row", "left").select(*[F.col(f"`{n}`") for n in names], "_spans").mapInArrow(run, schema)
+    return held.join(found, "_row", "left").select(*[F.col(f"`{n}`") for n in names], "_spans").mapInArrow(joined, schema)
 
 
-def replaced(text: str, found: list[dict]) -> str:
+def replaced(text: str, found: list[Span]) -> str:
     out, last = [], 0
-    for s in sorted(found, key=lambda s: (s["start"], -s["stop"])):
-        if s["start"] >= last:
-            out += [text[last : s["start"]], f"[{s['kind'].upper()}]"]
-        last = max(last, s["stop"])
+    for kind, start, stop in sorted(found, key=lambda s: (s[1], -s[2])):
+        if start >= last:
+            out += [text[last:start], f"[{kind.upper()}]"]
+        last = max(last, stop)
     return "".join([*out, text[last:]])
