@@ -145,7 +145,9 @@ def covariance(x: str, y: str, population: bool = False) -> Column:
 
 def pearson(x: str, y: str, degenerate: float = float("nan")) -> Column:
     """NaN, or what is given, where either does not vary."""
-    return F.coalesce(F.corr(x, y), F.lit(degenerate))
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
+    return F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(a) * F.stddev_pop(b)), F.lit(degenerate))
 
 
 def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -164,7 +166,7 @@ def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson correlation of the average ranks."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return average_ranks(average_ranks(both, x, "_rx"), y, "_ry").agg(F.corr("_rx", "_ry").alias("spearman"))
+    return average_ranks(average_ranks(both, x, "_rx"), y, "_ry").agg(pearson("_rx", "_ry").alias("spearman"))
 
 
 def linear_regression(x: str, y: str) -> list[Column]:
