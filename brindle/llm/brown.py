@@ -170,7 +170,7 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int) -> np.ndarray:
             table[c] -= out
             table[:, c] -= into
             table[c, c] -= own
-            left, top = table.sum(1), table.sum(0)
+            left, top = table.sum(1) + into, table.sum(0) + out  # what goes to and comes from the unit counts wherever it is put
             gain = (_h(table + out) - _h(table)).sum(1) + (_h(table + into[:, None]) - _h(table)).sum(0)
             d = np.arange(size)
             diag = table[d, d]
