@@ -36,8 +36,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
-#: Instances: runs without blanks or quotes that hold a digit or an at sign.
-TOKEN = re.compile(r"[^\s\"'<>()\[\]{}|,;]*[0-9@][^\s\"'<>()\[\]{}|,;]*")
+#: Instances: runs without blanks, quotes, brackets, bars, commas and semicolons that hold a digit or an at sign.
+_MARK, _RUN, _STOP = re.compile(r"[0-9@]"), re.compile(r"[^\s\"'<>()\[\]{}|,;]+"), frozenset("\"'<>()[]{}|,;")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
 
@@ -102,10 +102,15 @@ def contexts(text: str, start: int, end: int) -> list[str]:
 def instances(text: str, spans: list[Span]) -> list[tuple[int, int]]:
     """Bounds of the tokens of five characters or more that no base span meets, without marks at their ends."""
     taken = sorted((x, y) for _, x, y in spans)
-    out, i = [], 0
-    for m in TOKEN.finditer(text):
-        x = m.start()
-        y = x + len(m[0].rstrip(".:!?*#$%&-"))
+    out, i, end = [], 0, 0
+    mark = _MARK.search(text)
+    while mark:  # from a digit to both ends of its run, so no run is gone over twice
+        x, before = mark.start(), end
+        while x > before and not (text[x - 1].isspace() or text[x - 1] in _STOP):
+            x -= 1
+        end = _RUN.match(text, mark.start()).end()
+        y = x + len(text[x:end].rstrip(".:!?*#$%&-"))
+        mark = _MARK.search(text, end)
         while i < len(taken) and taken[i][1] <= x:
             i += 1
         if y - x >= 5 and not any(p < y and x < q for p, q in taken[i : i + 3]):
