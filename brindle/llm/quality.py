@@ -4,7 +4,9 @@ Each text becomes a short vector of transformed statistics (lengths, character
 classes, repetition). Class means and covariances come from sums over the labelled
 rows; each covariance is shrunk towards the pooled one and then towards its
 diagonal, and its Cholesky factor is computed once. The score is the posterior of
-label 1, from the difference of the Mahalanobis log densities.
+label 1, from the difference of the Mahalanobis log densities. Statistics of a few words
+say little: the difference counts by words / (words + ``doubt``), so very short texts
+lean on the share of the classes.
 
 Defined results: a null text is an empty one; an empty text has all-zero counts and a
 score like any other. Labels that are null, contradict each other for one document,
@@ -75,7 +77,8 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Discriminant:
     """Means, Cholesky factors and log determinants of the two classes."""
 
-    def __init__(self, sums: dict[int, np.ndarray], shrink: float, ridge: float):
+    def __init__(self, sums: dict[int, np.ndarray], shrink: float, ridge: float, doubt: float = 10.0):
+        self.doubt = doubt
         d = len(FEATURES)
         n = [float(sums[c][0]) if c in sums else 0.0 for c in (0, 1)]
         self.prior = (n[1] / sum(n)) if sum(n) else 0.5
@@ -101,11 +104,12 @@ class Discriminant:
         if not self.ok:
             return np.full(len(x), self.prior)
         density = [-0.5 * ((((x - m) @ f.T) ** 2).sum(1) + ld) for m, f, ld in zip(self.means, self.factors, self.log_dets)]
-        odds = np.clip(density[1] - density[0] + np.log(self.prior / (1 - self.prior)), -500, 500)
+        words = np.expm1(x[:, 0])
+        odds = np.clip((density[1] - density[0]) * words / (words + self.doubt) + np.log(self.prior / (1 - self.prior)), -500, 500)
         return 1 / (1 + np.exp(-odds))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, shrink: float = 0.1, ridge: float = 0.05) -> Discriminant:
+def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, shrink: float = 0.1, ridge: float = 0.05, doubt: float = 10.0) -> Discriminant:
     """From ``docs`` (doc_id, text) and ``labels`` (doc_id, y).
 
     max_rows: the bound of the sample of labelled documents that it learns from,
@@ -118,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, shrink: f
     size = 1 + len(FEATURES) * (1 + len(FEATURES))
     for r in seen.mapInArrow(_moments, "y int, s array<double>").select("y", F.posexplode("s").alias("i", "v")).groupBy("y", "i").agg(F.sum("v").alias("v")).collect():  # 2 x size numbers
         sums.setdefault(r["y"], np.zeros(size))[r["i"]] = r["v"]
-    return Discriminant(sums, shrink, ridge)
+    return Discriminant(sums, shrink, ridge, doubt)
 
 
 def score(docs: DataFrame, model: Discriminant, name: str = "score") -> DataFrame:

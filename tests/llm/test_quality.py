@@ -47,7 +47,9 @@ def test_moments_and_density(spark, make_docs):
         s = 0.95 * s + 0.05 * np.diag(np.diag(s)) + 1e-3 * np.eye(d)
         diff = v - model.means[c]
         logs.append(-0.5 * (diff @ np.linalg.solve(s, diff) + np.linalg.slogdet(s)[1]) + np.log(n[c] / sum(n)))
-    assert np.isclose(model.score(v[None])[0], 1 / (1 + np.exp(logs[0] - logs[1])))
+    words = np.expm1(v[0])
+    prior = np.log(n[1] / n[0])
+    assert np.isclose(model.score(v[None])[0], 1 / (1 + np.exp(-((logs[1] - logs[0] - prior) * words / (words + 10) + prior))))
 
 
 def test_the_sample_is_bounded(spark, make_docs):
