@@ -8,7 +8,8 @@ are never shuffled.
    position with the least hash of ``gram`` bytes in it; equal windows have anchors at
    equal places. All windows of one anchor together cover its context, some 130 bytes.
    Contexts are shuffled by the anchor's gram. Of equal ones all but the first are
-   repeated whole. A context whose gram stands in no other context is unique.
+   repeated whole; those that a text has earlier itself are known before the shuffle. A
+   context whose gram stands in no other context is unique.
 2. Families. What is left is cut into two halves of windows, each with a core of
    62 bytes that all its windows share, and shuffled by the core. Only the halves with
    equal cores can share windows: a family.
@@ -172,6 +173,17 @@ def _batch(columns: list[list[np.ndarray]], schema: pa.Schema) -> pa.RecordBatch
 FOUND = "row long, at long"  # row: shard << 32 | place in it; at: first window << 8 | windows after it
 
 
+def _window_runs(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The windows first to last, joined where they follow each other, as values of ``at``."""
+    if not len(first):
+        return np.zeros(0, np.int64)
+    new = np.concatenate([[True], first[1:] > last[:-1] + 1])
+    starts, stops = first[new], last[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(last) - 1]])]
+    parts = (stops - starts) // 256 + 1
+    begin = np.repeat(starts, parts) + 256 * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    return begin << 8 | np.minimum(np.repeat(stops, parts) - begin, 255)
+
+
 def _context_rows(shards: DataFrame, length: int, gram: int, parts: int) -> DataFrame:
     schema = _schema(*((n, pa.int64()) for n in ("gram", "context", "doc", "row", "at")))
     least = -(1 << 63)
@@ -186,9 +198,17 @@ def _context_rows(shards: DataFrame, length: int, gram: int, parts: int) -> Data
                     if len(text) < length:
                         continue
                     grams, contexts, first, last = c.contexts(np.frombuffer(text, np.uint8))
-                    n = len(first)
-                    for column, x in zip(out, (grams, contexts, np.full(n, least if doc is None else doc), np.full(n, shard << 32 | i), first << 8 | (last - first))):
+                    # contexts that the text itself has earlier are repeated for certain: they go along as runs, under keys of their own
+                    order = np.lexsort((first, contexts, grams))
+                    own = np.ones(len(order), bool)
+                    own[order[1:]] = (grams[order[1:]] != grams[order[:-1]]) | (contexts[order[1:]] != contexts[order[:-1]])
+                    runs = _window_runs(first[~own], last[~own])
+                    grams, contexts, at = grams[own], contexts[own], (first << 8 | (last - first))[own]
+                    n, m, row = len(at), len(runs), shard << 32 | i
+                    spread = _mixed((runs + row).astype(np.uint64)).view(np.int64)
+                    for column, x in zip(out, (np.concatenate([grams, spread]), np.concatenate([contexts, spread]), np.full(n + m, least if doc is None else doc), np.repeat([row, -row - 1], [n, m]), np.concatenate([at, runs]))):
                         column.append(x)
+                    n += m
                     size += n
                     if size > 50_000:
                         yield _batch(out, schema)
@@ -209,6 +229,10 @@ def _sieve(contexts: DataFrame) -> DataFrame:
         held = None  # the last first row of a context: gram, row, at; and whether it is out
         for b in batches:
             g, x, row, at = (b.column(n).to_numpy() for n in ("gram", "context", "row", "at"))
+            within = row < 0  # repeated within a text
+            if within.any():
+                yield _batch([[-row[within] - 1], [at[within]], [np.zeros(within.sum(), np.int32)]], schema)
+                g, x, row, at = (v[~within] for v in (g, x, row, at))
             if not len(g):
                 continue
             fresh = np.concatenate([[before != (g[0], x[0])], (g[1:] != g[:-1]) | (x[1:] != x[:-1])])
