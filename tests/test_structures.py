@@ -134,3 +134,73 @@ def test_diffs(spark):
     assert value(diffs.render(F.lit("{{#a}}{{n}};{{/a}}{{^b}}no{{/b}}{{c.d}}"), F.lit('{"a":[{"n":1},{"n":2}],"b":false,"c":{"d":"x"}}'))) == "1;2;nox"
     assert [r["at"] for r in value(diffs.find_patterns(F.lit("ababc"), ["ab", "abc", "zz"]))] == [0, 2, 2]
     assert value(diffs.run_automaton(F.lit("0110"), "e", {("e", "1"): "o", ("o", "1"): "e", ("e", "0"): "e", ("o", "0"): "o"})) == "e"
+
+
+def test_networks(spark, edges):
+    from brindle.operators import networks
+
+    e = edges(("a", "b", 3), ("a", "c", 2), ("b", "d", 2), ("c", "d", 3), ("b", "c", 1))
+    f = {(r.src, r.dst): (r.flow, r.cut) for r in networks.max_flow(e, "a", "d").collect()}
+    assert f["a", "b"][0] + f["a", "c"][0] == 5 and sum(w for (_, d), (w, _) in f.items() if d == "d") == 5
+    colors = networks.coloring(e)
+    assert networks.is_valid_coloring(e, colors) and not networks.is_valid_coloring(e, colors.withColumn("color", F.lit(0)))
+    cells = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (2, 1), (2, 0)], "x long, y long")
+    assert [(r.x, r.y) for r in networks.grid_path(cells, (0, 0), (2, 0)).orderBy("step").collect()] == [(0, 0), (0, 1), (1, 1), (2, 1), (2, 0)]
+    assert networks.grid_path(cells, (0, 0), (9, 9)).count() == 0
+    networks_most, networks.MOST = networks.MOST, 2
+    with pytest.raises(ValueError):
+        networks.coloring(e)
+    networks.MOST = networks_most
+
+
+def test_learning(spark):
+    from brindle.operators import learning
+
+    df = spark.createDataFrame([("sunny", "hot", "no"), ("sunny", "cool", "yes"), ("rain", "hot", "yes"), ("rain", "cool", "yes")], "sky string, heat string, play string")
+    tree = learning.train_tree(df, ["sky", "heat"], "play")
+    assert df.where(learning.predict_tree(tree) != F.col("play")).count() == 0
+    assert df.limit(1).select(F.lit("fog").alias("sky"), F.lit("x").alias("heat")).select(learning.predict_tree(tree)).first()[0] == "yes"
+    assert learning.train_tree(df.limit(0), ["sky"], "play") is None
+    net = {"a": ((), {(): 0.5}), "b": (("a",), {(True,): 0.9, (False,): 0.1})}
+    assert learning.bayes_query(net, "a", True, {"b": True}) == pytest.approx(0.9) and learning.bayes_query(net, "a", True, {"a": False}) == 0
+    words = spark.createDataFrame([("hello",), ("he11o",), ("bcdfgh",), ("aaaaab",)], "w string")
+    got = as_map(words.select("w", learning.word_confidence(F.col("w")).alias("c")), "w", "c")
+    assert got["hello"] == 1 and all(got[w] < 1 for w in ("he11o", "bcdfgh", "aaaaab"))
+
+
+def test_books(spark):
+    import io
+    import zipfile
+
+    from brindle.sources import books
+
+    chapters = spark.createDataFrame([(2, "Two", "b <i>"), (1, "One", "a\nc")], "n int, name string, text string")
+    files = [("x.epub", books.epub("T", chapters, "name", "text", "n"))]
+    for name, members in (("y.cbz", {"p10.png": "", "p2.png": ""}), ("z.xps", {"d/1.fpage": '<Glyphs UnicodeString="Hi &amp; bye"/>'}), ("w.docx", {"word/document.xml": "<w:p><w:t>One</w:t></w:p><w:p><w:t>Two</w:t></w:p>"})):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for k, v in members.items():
+                z.writestr(k, v)
+        files.append((name, out.getvalue()))
+    files += [("bad.epub", b"no zip"), ("odd.xyz", b"")]
+    got = {(r.path, r.page): (r.name, r.text) for r in books.read_pages(spark.createDataFrame(files, "path string, content binary")).collect()}
+    assert got["x.epub", 1][1] == "One\na\nc" and got["x.epub", 2][1] == "Two\nb <i>"
+    assert got["y.cbz", 1][0] == "p2.png" and got["z.xps", 1][1] == "Hi & bye" and got["w.docx", 1][1] == "One\nTwo"
+    assert got["bad.epub", 0][0] == "BadZipFile" and got["odd.xyz", 0][0] == "KeyError"
+    text = "".join(books.rtf(chapters, "text", "n"))
+    assert text.startswith("{\\rtf1") and "a\\par\nc" in text and text.count("\\page") == 1
+    framed = spark.range(1).select(books.unframe(F.concat(books.frame(F.lit("ab").cast("binary")), books.frame(F.lit("").cast("binary")), F.unhex(F.lit("00000009FF")))).alias("x")).first().x
+    assert [bytes(b) for b in framed] == [b"ab", b""]
+
+
+def test_paths(spark):
+    from brindle.functions import paths
+
+    value = lambda c: spark.range(1).select(c.alias("v")).first().v
+    assert value(paths.normalize(F.lit("/a/./b/../../../c//d/"))) == "/c/d" and value(paths.normalize(F.lit("../a/../.."))) == "../.." and value(paths.normalize(F.lit("a/.."))) == "."
+    assert value(paths.directory(F.lit("/a/b/c.txt"))) == "/a/b" and value(paths.directory(F.lit("x"))) == "." and value(paths.directory(F.lit("/x"))) == "/"
+    assert value(paths.extension(F.lit("a/b.tar.gz"))) == ".gz" and value(paths.extension(F.lit("a/.rc"))) == "" and value(paths.base_name(F.lit("a/b/"))) == "b"
+    assert value(paths.ease("circ_in", F.lit(1.0))) == 1 and value(paths.ease("linear", F.lit(0.3))) == 0.3
+    with pytest.raises(ValueError):
+        paths.ease("wobble_in", F.lit(0.0))
+    assert value(paths.text_fragment(F.lit("http://a/b#x"), F.lit("two words"))) == "http://a/b#:~:text=two%20words"
