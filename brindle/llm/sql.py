@@ -73,4 +73,12 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-SQL = {"op1_url_reputation": OP1, "op8_decontaminate": OP8, "op9_mix": OP9}
+OP7 = """
+WITH rows AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+bits AS (SELECT page_id, h, array_to_string(list_transform(string_split(sha1(h), ''), lambda c: lpad(bin(('0x' || c)::INTEGER), 4, '0')), '') AS b FROM rows),
+digests AS (SELECT page_id, h, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(0, 5), lambda j: substr(b, 5 * i + j + 1, 1)::INTEGER * (16 // (2 ** j)::INTEGER)))::INTEGER, 1)), '') AS d FROM bits)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM digests)
+"""
+
+SQL = {"op7_warc": OP7, "op1_url_reputation": OP1, "op8_decontaminate": OP8, "op9_mix": OP9}
