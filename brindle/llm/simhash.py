@@ -19,6 +19,7 @@ component unless all rows of it are null. Repeated rows stay rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,22 +33,25 @@ from .common import as_bytes, connected, keep, out_batches
 SEED = 42
 
 
+def _hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of each run of ``shingle`` words, or of all where they are fewer."""
+    digest = xxhash.xxh64_intdigest
+    joined = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([digest(joined, SEED)] if words else [], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate([[0], ends[:-shingle]]).tolist()
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())], dtype=np.uint64)
+
+
 def fingerprint(raw: bytes, shingle: int = 3) -> int:
     """Majority of the bits of the shingles' XXH64, repeats included; as a signed 64-bit integer."""
     words = raw.lower().split()
     if not words:
         return 0
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        hashes = [digest(b" ".join(words), SEED)]
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate([[0], ends[:-shingle]]).tolist()
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())]
-    n = len(hashes)
+    h = _hashes(words, shingle)
+    n = len(h)
     ones = np.zeros(64, np.int64)
-    h = np.array(hashes, dtype=np.uint64)
     for at in range(0, n, 1 << 16):  # bounded memory for very long texts
         ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
@@ -168,3 +172,98 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     comp = grouped.select("fp", "root").join(least, "root").select("fp", "component_id")
     return seen.join(comp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: A sampled key covers ``words`` + KEY_SPAN words; one in KEY_EVERY shingles gives a key.
+KEY_SPAN, KEY_EVERY = 3, 8
+_SIG = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
+
+
+def _mix(x: np.ndarray, by: np.uint64) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * by
+    return x ^ (x >> np.uint64(29))
+
+
+def _sketch(raw: bytes, words: int) -> tuple[int, list[int], np.ndarray, np.ndarray]:
+    """Hash of the words, a 256-bit SimHash of their shingles, sampled keys, and the distinct shingles as 32-bit hashes."""
+    w = raw.lower().split()
+    h = _hashes(w, words)
+    signature = []
+    for by in _SIG:
+        ones = np.zeros(64, np.int64)
+        mixed = _mix(h, by)
+        for at in range(0, len(h), 1 << 16):
+            ones += np.unpackbits(mixed[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        signature.append(int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0]))
+    ahead = h[KEY_SPAN:]
+    pick = np.flatnonzero(h[: len(ahead)] % np.uint64(KEY_EVERY) == 0)
+    keys = np.unique(_mix(h[pick] + _SIG[0] * ahead[pick], _SIG[1])).view(np.int64)
+    whole = xxhash.xxh64_intdigest(b" ".join(w), SEED)
+    return whole - (1 << 64) if whole >> 63 else whole, signature, keys, np.unique((h >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+
+
+def similar_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): texts of ``nodes`` (node, s0 to s3, keys, shingles) that share a sampled key and whose shingles' Jaccard similarity reaches ``similarity``.
+
+    Of the texts under a key each is paired with the one whose keys are shared most, which
+    is what copies were made from if it is there, and with two more in an order that
+    differs from key to key: three pairs for each text under a key, however many
+    share it. Pairs are cut by the distance of their 256-bit signatures, and the rest
+    verified by their shingles.
+    """
+    by_key = Window.partitionBy("key")
+    rows = nodes.select("node", F.size("keys").alias("of"), F.explode("keys").alias("key"))
+    shared = keep(rows.withColumn("n", F.count(F.lit(1)).over(by_key)).where("n > 1").drop("n"), "simhash-keys")
+    shares = shared.groupBy("node").agg((F.count(F.lit(1)) / F.max("of")).alias("share"))
+    among = shared.select("node", "key").join(shares, "node")
+    center = F.first("node").over(by_key.orderBy(F.desc("share"), "node"))
+    mixed = by_key.orderBy(F.xxhash64("node", "key"))
+    ahead = among.withColumn("center", center).select("node", F.array("center", F.lead("node", 1).over(mixed), F.lead("node", 2).over(mixed)).alias("next"))
+    near = ahead.select("node", F.explode("next").alias("to")).where("`to` is not null and node <> `to`")
+    pairs = near.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
+    side = lambda n, *more: nodes.select(F.col("node").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in more])
+    sig = ("s0", "s1", "s2", "s3")
+    apart = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in sig), F.lit(0))
+    # at this similarity the share of differing bits is acos(2 J / (1 + J)) / pi; four deviations are allowed
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most = math.ceil(256 * p + 4 * math.sqrt(256 * p * (1 - p)))
+    close = keep(pairs.join(side("a", *sig), "a").join(side("b", *sig), "b").where(apart <= most).select("a", "b"), "simhash-close")
+    both = close.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
+    common = F.size(F.array_intersect("a_shingles", "b_shingles"))
+    total = F.size("a_shingles") + F.size("b_shingles") - common
+    return both.where((total > 0) & (common >= F.lit(similarity) * total - 1e-9)).select("a", "b")
+
+
+def near_duplicates_by_similarity(docs: DataFrame, *, shingle: int = 3, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id of each row of ``docs`` (doc_id, text): texts are linked by fingerprints at two or fewer differing bits, and by a Jaccard similarity of shingles of ``words`` words.
+
+    The second kind of link reaches copies whose fingerprints are too far apart for the
+    signatures. Texts of the same words are one node.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
+                cols: list[list] = [[] for _ in range(8)]
+                for t in as_bytes(part.column("text")):
+                    node, signature, keys, shingles = _sketch(t or b"", words)
+                    for col, x in zip(cols, (node, fingerprint(t or b"", shingle), *signature, keys, shingles)):
+                        col.append(x)
+                arrays = [pa.array(c, pa.int64()) for c in cols[:6]] + [pa.array(cols[6], pa.list_(pa.int64())), pa.array(cols[7], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], names=["doc_id", "node", "fp", "s0", "s1", "s2", "s3", "keys", "shingles"])
+
+    seen = keep(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, fp long, s0 long, s1 long, s2 long, s3 long, keys array<long>, shingles array<int>"), "simhash-sketches")
+    least = keep(seen.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp")), "simhash-nodes")
+    one = least.groupBy("fp").agg(F.min("node").alias("node"))
+    by_fp = links(one.select("fp"))
+    rep = lambda n, to: one.select(F.col("fp").alias(n), F.col("node").alias(to))
+    edges = by_fp.join(rep("a", "x"), "a").join(rep("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    edges = edges.unionAll(least.join(rep("fp", "y"), "fp").where("node <> y").select(F.col("node").alias("a"), F.col("y").alias("b")))
+    # copies of a text have the same sketch; one of them stands for all
+    nodes = seen.groupBy("node").agg(*[F.first(c).alias(c) for c in ("s0", "s1", "s2", "s3", "keys", "shingles")])
+    edges = edges.unionAll(similar_pairs(keep(nodes, "simhash-texts"), similarity))
+    roots = connected(edges)
+    grouped = least.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    comp = grouped.join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    return seen.select("doc_id", "node").join(comp, "node").select("doc_id", "component_id")

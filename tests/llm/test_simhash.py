@@ -41,6 +41,57 @@ def test_fingerprints_and_components(make_docs, prose):
     assert len({r.component_id for r in rows.values()}) < len(rows)
 
 
+def shingles(text, n=5):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def partition_wide(texts, similarity=0.8):
+    """Components by fingerprints at two bits or fewer, or by the similarity of five-word shingles."""
+    fps, sets = [slow_fingerprint(t) for t in texts], [shingles(t) for t in texts]
+
+    def linked(i, j):
+        both = len(sets[i] | sets[j])
+        return bin(fps[i] ^ fps[j]).count("1") <= 2 or (both and len(sets[i] & sets[j]) >= similarity * both)
+
+    root = list(range(len(texts)))
+    near = [[j for j in range(len(texts)) if linked(i, j)] for i in range(len(texts))]
+    changed = True
+    while changed:
+        changed = False
+        for i, others in enumerate(near):
+            low = min(root[j] for j in [i, *others])
+            if low < root[i]:
+                root[i], changed = low, True
+    return root
+
+
+def edited(rng, text, rate):
+    w = text.split()
+    return " ".join(f"new{rng.randrange(10**6)}" if rng.random() < rate else x for x in w)
+
+
+def test_similar_texts(make_docs, prose):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    bases = [" ".join(word() for _ in range(rng.randint(60, 300))) for _ in range(25)]
+    common = " ".join(word() for _ in range(40))
+    texts = [*prose, *bases, *(edited(rng, b, rng.choice([0.005, 0.015, 0.02, 0.05])) for b in bases for _ in range(4)), *(f"{' '.join(word() for _ in range(60))} {common}" for _ in range(30))]
+    rows = {r.doc_id: r.component_id for r in simhash.near_duplicates_by_similarity(make_docs(texts)).collect()}
+    assert [rows[i] for i in range(len(texts))] == partition_wide(texts)
+
+
+def test_many_copies_of_one_text(make_docs):
+    """Copies that are like the text that they were made from, but not like each other."""
+    rng = random.Random(8)
+    base = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(250))
+    texts = [base, *(edited(rng, base, 0.016) for _ in range(150))]
+    near = [i for i, t in enumerate(texts) if len(shingles(t) & shingles(base)) >= 0.8 * len(shingles(t) | shingles(base))]
+    assert len(near) > 120
+    rows = {r.doc_id: r.component_id for r in simhash.near_duplicates_by_similarity(make_docs(texts)).collect()}
+    assert sum(rows[i] == 0 for i in near) >= 0.99 * len(near)
+
+
 def test_links_in_buckets_of_any_size(spark):
     rng = random.Random(3)
     fps = set()
@@ -72,3 +123,6 @@ def test_edges(make_docs):
     rows = simhash.near_duplicates(make_docs([(5, ""), (3, None), (9, "a"), (9, "a"), (None, "a")])).collect()
     assert sorted((r.doc_id or -1, r.fingerprint == "0" * 16, r.component_id) for r in rows) == [(-1, False, 9), (3, True, 3), (5, True, 3), (9, False, 9), (9, False, 9)]
     assert simhash.near_duplicates(make_docs([(1, "x")]).limit(0)).collect() == []
+    wide = simhash.near_duplicates_by_similarity(make_docs([(5, ""), (3, None), (9, "a"), (9, "A"), (None, "a")])).collect()
+    assert sorted((r.doc_id or -1, r.component_id) for r in wide) == [(-1, 9), (3, 3), (5, 3), (9, 9), (9, 9)]
+    assert simhash.near_duplicates_by_similarity(make_docs([(1, "x")]).limit(0)).collect() == []
