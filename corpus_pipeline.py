@@ -26,9 +26,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest doc_id stays; of rows that repeat that doc_id, one."""
+    """Of each component, linked by fingerprints or by four fifths of the five-word shingles, the document with the smallest doc_id stays; of rows that repeat that doc_id, one."""
     ship(spark)
-    found = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    found = simhash.near_duplicates_by_similarity(docs).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
 
 
