@@ -144,3 +144,18 @@ def polygon_area(corners: Column) -> Column:
     n = F.size(corners)
     terms = F.transform(corners, lambda p, i: p["x"] * F.get(corners, F.pmod(i + 1, n))["y"] - p["y"] * F.get(corners, F.pmod(i + 1, n))["x"])
     return F.abs(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)) / 2
+
+
+def closest_pair(df: DataFrame, id: str, x: str, y: str) -> DataFrame:
+    """a, b and distance of the nearest two points. A bound comes from neighbours along x in parallel ranges; the pairs within it from a grid join."""
+    from .order import global_index
+
+    points = df.select(F.col(id).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    at = global_index(points, "x", "y", "id", name="_i")
+    after = at.select((F.col("_i") - 1).alias("_i"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    bound = at.join(after, "_i").agg(F.min(distance(F.col("x"), F.col("y"), F.col("x2"), F.col("y2")))).first()[0]
+    if bound is None:
+        return df.sparkSession.createDataFrame([], f"a {dict(points.dtypes)['id']}, b {dict(points.dtypes)['id']}, distance double")
+    side = lambda n: points.select(F.col("id").alias(n), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y"))
+    near = radius_join(side("a"), side("b"), "ax", "ay", "bx", "by", max(bound, 1e-9)).where("a < b")
+    return near.select("a", "b", "distance").orderBy("distance", "a", "b").limit(1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import arrays, dates, encoding, expressions, maths, similarity, strings, text, urls
+from ..functions import arrays, dates, encoding, expressions, maths, phonetic, similarity, strings, text, urls
 from ..sources import documents
 from .base import Tables, query
 
@@ -52,7 +52,7 @@ def str_common(t):
 
 @query()
 def str_phonetic(t):
-    return t.nation.select("n_nationkey", strings.soundex(F.col("n_name")).alias("soundex"))
+    return t.nation.select("n_nationkey", *[f(F.col("n_name")).alias(n) for n, f in phonetic.CODES.items()])
 
 
 @query("SELECT conv_id, turn, regexp_matches(text, '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$') AS email, length(text) AS chars, len(regexp_extract_all(text, '[a-z]+')) AS runs FROM conversations")

@@ -184,3 +184,14 @@ def test_vectors(spark):
         vectors.search(pts, "id", "v", [1.0], 1).collect()
     gain = spark.createDataFrame([("red", "yes"), ("blue", "yes"), ("green", "no")], "color string, label string")
     assert vectors.information_gain(gain, "color", "label").first().gain == pytest.approx(0.9182958)
+
+
+def test_phonetic(spark, value):
+    from brindle.functions import phonetic
+
+    n, m = lambda w: value(phonetic.nysiis(L(w))), lambda w: value(phonetic.metaphone(L(w)))
+    assert n("") == "" == m("") and n("Pfister") == n("Ffister") and n("john") == n("JOHN") and n("Williams") == n("Williamson") and len(n("Montgomeryshire")) <= 6
+    assert m("Smith") == m("Smythe") == "SM0" and m("Knight") == m("Night") and m("PHONE") == "FN" and m("THINK") == "0NK" and m("EXACT") == "EKSKT"
+    assert value(phonetic.phonetic_match(L("Robert"), L("Rupert"))) and not value(phonetic.phonetic_match(L("Robert"), L("Smith"), "metaphone"))
+    words = spark.createDataFrame([("Robert",), ("Rupert",), ("Smith",), ("Robert",)], "w string")
+    assert {tuple(r.words) for r in phonetic.phonetic_groups(words, "w").collect()} == {("Robert", "Rupert"), ("Smith",)}

@@ -204,3 +204,17 @@ def test_paths(spark):
     with pytest.raises(ValueError):
         paths.ease("wobble_in", F.lit(0.0))
     assert value(paths.text_fragment(F.lit("http://a/b#x"), F.lit("two words"))) == "http://a/b#:~:text=two%20words"
+
+
+def test_walks_and_sweeps(spark):
+    from brindle.operators import networks
+
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "d")], "src string, dst string")
+    walk = [r.node for r in networks.euler_path(e).orderBy("step").collect()]
+    assert len(walk) == 5 and sorted(map(sorted, zip(walk, walk[1:]))) == [["a", "b"], ["a", "c"], ["a", "d"], ["b", "c"]]
+    assert networks.euler_path(spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "d")], "src string, dst string")).count() == 0
+    boxes = spark.createDataFrame([(0.0, 0.0, 2.0, 2.0), (1.0, 1.0, 3.0, 3.0), (5.0, 5.0, 6.0, 6.0), (0.0, 0.0, 2.0, 2.0)], "x0 double, y0 double, x1 double, y1 double")
+    assert networks.rectangles_area(boxes).first().area == 8
+    pts = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.1, 9.0), (3, 5.0, 5.0), (4, 5.5, 5.5), (5, 9.0, 0.0)], "id int, x double, y double")
+    r = spatial.closest_pair(pts, "id", "x", "y").first()
+    assert (r.a, r.b) == (3, 4) and spatial.closest_pair(pts.limit(1), "id", "x", "y").count() == 0
