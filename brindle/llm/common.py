@@ -20,8 +20,7 @@ from ..shipping import ship
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; one of our own only where it is unset."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = getattr(spark.sparkContext, "_brindle_shared", None)
         if root is None:
@@ -52,6 +51,12 @@ def drop_kept(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all that this application wrote to the shared folder, once its results are read or written elsewhere."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a directory; the package goes to the executors with it."""
     ship(spark)

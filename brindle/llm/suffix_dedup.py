@@ -459,7 +459,7 @@ def dedup(docs: DataFrame, *, length: int = 100, gram: int = 24, family_rows: in
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = write_shards(docs)
-    n_shards = max(1, shards.count())
+    n_shards = min(max(1, shards.count()), 100_000)  # tasks that read shards; a task may read several
     contexts = _context_rows(shards, length, gram, n_shards).repartition(parts, "gram").sortWithinPartitions("gram", "context", "doc", "row", "at")
     found = keep(_sieve(contexts), "suffix-sieve")
     pieces = _piece_rows(_by_shards(found.where("kind = 1"), shards, n_shards), length, gram).repartition(parts, "core").sortWithinPartitions("core", "doc", "row", "start")
