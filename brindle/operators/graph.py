@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 def _cut(df: DataFrame) -> DataFrame:
     """Lineage cut by a checkpoint in the shared folder that the cluster names; where none is named, in one of our own, as in tests."""
-    sc = df.sparkSession.sparkContext
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         import tempfile
 
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brindle-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brindle-"))
     return df.checkpoint()
 
 
