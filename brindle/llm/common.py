@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,9 +40,35 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._brindle_path = path
+    if _scratches:
+        _scratches[-1].append(out)
     return out
 
 
+#: What is kept inside the scratches that are open.
+_scratches: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables kept inside are deleted at its end, but for those kept by the function that it gives."""
+    saved: list[DataFrame] = []
+
+    def result(df: DataFrame, name: str) -> DataFrame:
+        saved.append(keep(df, name))
+        return saved[-1]
+
+    _scratches.append([])
+    try:
+        yield result
+    finally:
+        for df in _scratches.pop():
+            if not any(df is s for s in saved):
+                drop_kept(df)
+        if _scratches:
+            _scratches[-1].extend(saved)
+
+
 def drop_kept(df: DataFrame) -> None:
     """Delete what keep() wrote for ``df``; nothing may read it any more."""
     path = getattr(df, "_brindle_path", None)

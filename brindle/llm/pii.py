@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, scratch
 
 # fixed values: the kinds in order, and the base patterns
 KINDS = ("email", "ip", "card", "phone")
@@ -204,9 +204,12 @@ def redact(docs: DataFrame, *, rounds: int = 3, least: float = 0.8, support: int
     def texts_in(b: pa.RecordBatch, texts: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else b.column(n) for n in names], names=names)
 
-    _, _, good = _learned(docs, rounds, least, support)
-    if good.count() <= sent_patterns:
-        sent = docs.sparkSession.sparkContext.broadcast({r["pattern"]: r["kind"] for r in good.toLocalIterator()})
+    with scratch():
+        _, _, good = _learned(docs, rounds, least, support)
+        few = good.count() <= sent_patterns
+        patterns = {r["pattern"]: r["kind"] for r in good.toLocalIterator()} if few else {}
+    if few:
+        sent = docs.sparkSession.sparkContext.broadcast(patterns)
 
         def one(t: str | None) -> str | None:
             if not t:

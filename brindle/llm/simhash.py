@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, connected, keep, out_batches
+from .common import as_bytes, connected, keep, out_batches, scratch
 
 SEED = 42
 
@@ -165,6 +165,11 @@ def links(fps: DataFrame, held: int = 8192) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fingerprint (hexadecimal) and component_id for each row of ``docs`` (doc_id, text)."""
+    with scratch() as result:
+        return result(_near_duplicates(docs, shingle), "near-duplicates")
+
+
+def _near_duplicates(docs: DataFrame, shingle: int) -> DataFrame:
     seen = keep(fingerprints(docs, shingle), "simhash")
     distinct = keep(seen.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = connected(links(distinct.select("fp")))
@@ -174,8 +179,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return seen.join(comp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: A sampled key covers ``words`` + KEY_SPAN words; one in KEY_EVERY shingles gives a key.
-KEY_SPAN, KEY_EVERY = 3, 8
+#: A sampled key covers ``words`` + KEY_SPAN words; one in KEY_EVERY shingles gives a key, and the KEY_LEAST of least hash do in any text.
+KEY_SPAN, KEY_EVERY, KEY_LEAST = 3, 16, 6
+#: Texts under a key that are paired each with each; 28 pairs at most.
+ALL_PAIRS = 8
+#: Texts of a larger group that each of it is paired with.
+CENTERS = 4
 _SIG = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
 
@@ -196,29 +205,34 @@ def _sketch(raw: bytes, words: int) -> tuple[int, list[int], np.ndarray, np.ndar
             ones += np.unpackbits(mixed[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         signature.append(int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0]))
     ahead = h[KEY_SPAN:]
-    pick = np.flatnonzero(h[: len(ahead)] % np.uint64(KEY_EVERY) == 0)
+    rank = _mix(h[: len(ahead)], _SIG[2])
+    least = np.partition(rank, KEY_LEAST - 1)[KEY_LEAST - 1] if len(rank) > KEY_LEAST else np.uint64((1 << 64) - 1)
+    pick = np.flatnonzero((rank % np.uint64(KEY_EVERY) == 0) | (rank <= least))
     keys = np.unique(_mix(h[pick] + _SIG[0] * ahead[pick], _SIG[1])).view(np.int64)
     whole = xxhash.xxh64_intdigest(b" ".join(w), SEED)
     return whole - (1 << 64) if whole >> 63 else whole, signature, keys, np.unique((h >> np.uint64(32)).astype(np.uint32)).view(np.int32)
 
 
-def similar_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): texts of ``nodes`` (node, s0 to s3, keys, shingles) that share a sampled key and whose shingles' Jaccard similarity reaches ``similarity``.
+def similar_pairs(seen: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): texts of ``seen`` (node, keys, shingles; a row for each copy) and ``nodes`` (node, s0 to s3) that share a sampled key and whose shingles' Jaccard similarity reaches ``similarity``.
 
-    Of the texts under a key each is paired with the one whose keys are shared most, which
-    is what copies were made from if it is there, and with two more in an order that
-    differs from key to key: three pairs for each text under a key, however many
-    share it. Pairs are cut by the distance of their 256-bit signatures, and the rest
-    verified by their shingles.
+    All texts under a key are paired where they are ``ALL_PAIRS`` or fewer. Where they are
+    more, each is paired with the CENTERS whose keys are shared most, which are what copies
+    were made from and those most like it, and with two more in an order that differs from
+    key to key: so many pairs for each text under a key, however many share it. Pairs are cut by the
+    distance of their 256-bit signatures, and the rest verified by their shingles.
     """
     by_key = Window.partitionBy("key")
-    rows = nodes.select("node", F.size("keys").alias("of"), F.explode("keys").alias("key"))
-    shared = keep(rows.withColumn("n", F.count(F.lit(1)).over(by_key)).where("n > 1").drop("n"), "simhash-keys")
-    shares = shared.groupBy("node").agg((F.count(F.lit(1)) / F.max("of")).alias("share"))
-    among = shared.select("node", "key").join(shares, "node")
-    center = F.first("node").over(by_key.orderBy(F.desc("share"), "node"))
+    rows = seen.select("node", F.explode("keys").alias("key")).groupBy("key", "node").agg(F.lit(1).alias("one")).drop("one")
+    shared = keep(rows.withColumn("n", F.count(F.lit(1)).over(by_key)).where("n > 1"), "simhash-keys")
+    shares = shared.groupBy("node").agg(F.sum("n").alias("share"))
+    among = shared.select("node", "key", "n").join(shares, "node")
+    whole = by_key.orderBy(F.desc("share"), "node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    centers = F.array(*[F.nth_value("node", i).over(whole) for i in range(1, CENTERS + 1)])
     mixed = by_key.orderBy(F.xxhash64("node", "key"))
-    ahead = among.withColumn("center", center).select("node", F.array("center", F.lead("node", 1).over(mixed), F.lead("node", 2).over(mixed)).alias("next"))
+    leads = [F.lead("node", i).over(mixed) for i in range(1, ALL_PAIRS)]
+    ahead = among.select("node", "n", centers.alias("centers"), F.array(*leads).alias("leads"))
+    ahead = ahead.select("node", F.when(F.col("n") <= ALL_PAIRS, F.col("leads")).otherwise(F.concat("centers", F.slice("leads", 1, 2))).alias("next"))
     near = ahead.select("node", F.explode("next").alias("to")).where("`to` is not null and node <> `to`")
     pairs = near.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
     side = lambda n, *more: nodes.select(F.col("node").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in more])
@@ -228,7 +242,10 @@ def similar_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     most = math.ceil(256 * p + 4 * math.sqrt(256 * p * (1 - p)))
     close = keep(pairs.join(side("a", *sig), "a").join(side("b", *sig), "b").where(apart <= most).select("a", "b"), "simhash-close")
-    both = close.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
+    wanted = close.select(F.col("a").alias("node")).unionAll(close.select("b")).distinct()
+    held = keep(seen.select("node", "shingles").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "simhash-shingles")
+    sets = lambda n: held.select(F.col("node").alias(n), F.col("shingles").alias(f"{n}_shingles"))
+    both = close.join(sets("a"), "a").join(sets("b"), "b")
     common = F.size(F.array_intersect("a_shingles", "b_shingles"))
     total = F.size("a_shingles") + F.size("b_shingles") - common
     return both.where((total > 0) & (common >= F.lit(similarity) * total - 1e-9)).select("a", "b")
@@ -240,11 +257,16 @@ def near_duplicates_by_similarity(docs: DataFrame, *, shingle: int = 3, words: i
     The second kind of link reaches copies whose fingerprints are too far apart for the
     signatures. Texts of the same words are one node.
     """
+    with scratch() as result:
+        return result(_by_similarity(docs, shingle, words, similarity), "near-duplicates")
+
+
+def _by_similarity(docs: DataFrame, shingle: int, words: int, similarity: float) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
+            for part in (b.slice(i, 200) for i in range(0, b.num_rows, 200)):
                 cols: list[list] = [[] for _ in range(8)]
                 for t in as_bytes(part.column("text")):
                     node, signature, keys, shingles = _sketch(t or b"", words)
@@ -254,15 +276,13 @@ def near_duplicates_by_similarity(docs: DataFrame, *, shingle: int = 3, words: i
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], names=["doc_id", "node", "fp", "s0", "s1", "s2", "s3", "keys", "shingles"])
 
     seen = keep(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, fp long, s0 long, s1 long, s2 long, s3 long, keys array<long>, shingles array<int>"), "simhash-sketches")
-    least = keep(seen.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp")), "simhash-nodes")
+    least = keep(seen.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), *[F.first(s).alias(s) for s in ("s0", "s1", "s2", "s3")]), "simhash-nodes")
     one = least.groupBy("fp").agg(F.min("node").alias("node"))
     by_fp = links(one.select("fp"))
     rep = lambda n, to: one.select(F.col("fp").alias(n), F.col("node").alias(to))
     edges = by_fp.join(rep("a", "x"), "a").join(rep("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     edges = edges.unionAll(least.join(rep("fp", "y"), "fp").where("node <> y").select(F.col("node").alias("a"), F.col("y").alias("b")))
-    # copies of a text have the same sketch; one of them stands for all
-    nodes = seen.groupBy("node").agg(*[F.first(c).alias(c) for c in ("s0", "s1", "s2", "s3", "keys", "shingles")])
-    edges = edges.unionAll(similar_pairs(keep(nodes, "simhash-texts"), similarity))
+    edges = edges.unionAll(similar_pairs(seen, least, similarity))
     roots = connected(edges)
     grouped = least.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     comp = grouped.join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")

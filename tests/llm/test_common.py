@@ -28,3 +28,16 @@ def test_components(spark, edges):
                 root[a] = root[b] = min(root[a], root[b])
     # the smallest node need not be listed, as it is its own root
     assert {n: r for n, r in root.items() if r != n} == {n: r for n, r in got.items() if r != n}
+
+
+def test_scratch(spark):
+    import pathlib
+
+    paths = []
+    with common.scratch() as outer:
+        with common.scratch() as result:
+            paths.append(common.keep(spark.range(3), "a")._brindle_path)
+            out = result(spark.range(4), "b")
+        assert not pathlib.Path(paths[0].removeprefix("file://")).exists() and out.count() == 4
+        last = outer(out.where("id > 1"), "c")
+    assert last.count() == 2 and not pathlib.Path(out._brindle_path.removeprefix("file://")).exists()

@@ -89,7 +89,7 @@ def test_many_copies_of_one_text(make_docs):
     near = [i for i, t in enumerate(texts) if len(shingles(t) & shingles(base)) >= 0.8 * len(shingles(t) | shingles(base))]
     assert len(near) > 120
     rows = {r.doc_id: r.component_id for r in simhash.near_duplicates_by_similarity(make_docs(texts)).collect()}
-    assert sum(rows[i] == 0 for i in near) >= 0.99 * len(near)
+    assert sum(rows[i] == 0 for i in near) >= 0.97 * len(near)
 
 
 def test_links_in_buckets_of_any_size(spark):
