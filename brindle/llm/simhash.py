@@ -197,20 +197,21 @@ def _sketch(raw: bytes, words: int) -> tuple[int, list[int], np.ndarray, np.ndar
     """Hash of the words, a 256-bit SimHash of their shingles, sampled keys, and the distinct shingles as 32-bit hashes."""
     w = raw.lower().split()
     h = _hashes(w, words)
+    distinct = np.unique(h)  # the similarity to be met is one of sets
     signature = []
     for by in _SIG:
         ones = np.zeros(64, np.int64)
-        mixed = _mix(h, by)
-        for at in range(0, len(h), 1 << 16):
+        mixed = _mix(distinct, by)
+        for at in range(0, len(mixed), 1 << 16):
             ones += np.unpackbits(mixed[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        signature.append(int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0]))
+        signature.append(int(np.packbits(2 * ones > len(mixed), bitorder="little").view(np.int64)[0]))
     ahead = h[KEY_SPAN:]
     rank = _mix(h[: len(ahead)], _SIG[2])
     least = np.partition(rank, KEY_LEAST - 1)[KEY_LEAST - 1] if len(rank) > KEY_LEAST else np.uint64((1 << 64) - 1)
     pick = np.flatnonzero((rank % np.uint64(KEY_EVERY) == 0) | (rank <= least))
     keys = np.unique(_mix(h[pick] + _SIG[0] * ahead[pick], _SIG[1])).view(np.int64)
     whole = xxhash.xxh64_intdigest(b" ".join(w), SEED)
-    return whole - (1 << 64) if whole >> 63 else whole, signature, keys, np.unique((h >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+    return whole - (1 << 64) if whole >> 63 else whole, signature, keys, np.unique((distinct >> np.uint64(32)).astype(np.uint32)).view(np.int32)
 
 
 def similar_pairs(seen: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
