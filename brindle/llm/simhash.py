@@ -183,7 +183,7 @@ def _near_duplicates(docs: DataFrame, shingle: int) -> DataFrame:
 KEY_SPAN, KEY_EVERY, KEY_LEAST = 3, 16, 6
 #: Texts under a key that are paired each with each; 28 pairs at most.
 ALL_PAIRS = 8
-#: Texts of a larger group that each of it is paired with.
+#: Texts of a larger group that each of it is paired with at first.
 CENTERS = 4
 _SIG = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
@@ -214,14 +214,15 @@ def _sketch(raw: bytes, words: int) -> tuple[int, list[int], np.ndarray, np.ndar
     return whole - (1 << 64) if whole >> 63 else whole, signature, keys, np.unique((distinct >> np.uint64(32)).astype(np.uint32)).view(np.int32)
 
 
-def similar_pairs(seen: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): texts of ``seen`` (node, keys, shingles; a row for each copy) and ``nodes`` (node, s0 to s3) that share a sampled key and whose shingles' Jaccard similarity reaches ``similarity``.
+def similar_pairs(seen: DataFrame, nodes: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b), and the crowd (node) whose pairs are not all among them. (a, b) are texts of ``seen`` (node, keys, shingles; a row for each copy) and ``nodes`` (node, s0 to s3) that share a sampled key and whose shingles' Jaccard similarity reaches ``similarity``.
 
     All texts under a key are paired where they are ``ALL_PAIRS`` or fewer. Where they are
-    more, each is paired with the CENTERS whose keys are shared most, which are what copies
+    more, each is paired at first with the CENTERS whose keys are shared most, mostly what copies
     were made from and those most like it, and with two more in an order that differs from
-    key to key: so many pairs for each text under a key, however many share it. Pairs are cut by the
-    distance of their 256-bit signatures, and the rest verified by their shingles.
+    key to key: that links most copies with few pairs, and the texts under such keys are the crowd that
+    ``pairs_of_crowd`` finishes. Pairs are cut by the distance of their 256-bit signatures, and the rest
+    verified by their shingles.
     """
     by_key = Window.partitionBy("key")
     rows = seen.select("node", F.explode("keys").alias("key")).groupBy("key", "node").agg(F.lit(1).alias("one")).drop("one")
@@ -245,13 +246,48 @@ def similar_pairs(seen: DataFrame, nodes: DataFrame, similarity: float) -> DataF
     close = keep(pairs.join(side("a", *sig), "a").join(side("b", *sig), "b").where(apart <= most).select("a", "b"), "simhash-close")
     wanted = close.select(F.col("a").alias("node")).unionAll(close.select("b")).distinct()
     held = keep(seen.select("node", "shingles").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "simhash-shingles")
+    return _verified(close, held, similarity), shared.where(F.col("n") > ALL_PAIRS).select("node").distinct()
+
+
+def _verified(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose Jaccard similarity by ``held`` (node, shingles) reaches ``similarity``."""
     sets = lambda n: held.select(F.col("node").alias(n), F.col("shingles").alias(f"{n}_shingles"))
-    both = close.join(sets("a"), "a").join(sets("b"), "b")
+    both = pairs.join(sets("a"), "a").join(sets("b"), "b")
     common = F.size(F.array_intersect("a_shingles", "b_shingles"))
     total = F.size("a_shingles") + F.size("b_shingles") - common
     return both.where((total > 0) & (common >= F.lit(similarity) * total - 1e-9)).select("a", "b")
 
 
+def pairs_of_crowd(seen: DataFrame, crowd: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): roots of any two texts of ``crowd`` (node) that ``roots`` (node, root) leave apart and whose shingles' Jaccard similarity reaches ``similarity``.
+
+    Nothing is sampled or capped: the shingles that such a pair has in common stand under
+    more than one root, and are a share ``similarity`` of either text's at least. So texts with
+    fewer of those go, and of the others the rarest of them, as many as can all be missing
+    in the other text and one more, are equi-joined. A pair goes if what is left behind the
+    shingle that it shares is too little; the rest is verified.
+    """
+    held = seen.select("node", "shingles").join(crowd, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    held = keep(held.join(roots, "node", "left").select("node", "shingles", F.coalesce("root", "node").alias("root")), "simhash-crowd")
+    rows = held.select("node", "root", F.size("shingles").alias("size"), F.explode("shingles").alias("s"))
+    across = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("s", "n")
+    ranked = rows.join(across, "s").groupBy("node").agg(F.first("root").alias("root"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "s"))).alias("found"))
+    least = F.ceil(F.lit(similarity) * F.col("size") - 1e-9).cast("int")
+    ranked = ranked.withColumn("most", F.size("found") - least + 1).where("most > 0")
+    first = ranked.select("node", "root", "size", F.size("found").alias("c"), F.posexplode(F.slice("found", 1, F.col("most"))).alias("at", "x"))
+    first = keep(first.select("node", "root", "size", (F.col("c") - F.col("at")).alias("behind"), F.col("x.s").alias("s")), "simhash-rarest")
+    # two texts of unlike roots are not both of the root that most texts under the shingle have
+    by_root = first.groupBy("s", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("s").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1").select("s", "main")
+    names = ("node", "root", "size", "behind")
+    side = lambda df, p: df.select("s", *[F.col(c).alias(f"{p}_{c}") for c in names])
+    few = side(first.join(by_root, "s").where("root <> main"), "x")
+    needed = F.lit(similarity / (1 + similarity)) * (F.col("x_size") + F.col("y_size")) - 1e-9
+    alike = few.join(side(first, "y").withColumnRenamed("s", "t"), (F.col("s") == F.col("t")) & (F.col("x_root") != F.col("y_root")) & (F.least("x_behind", "y_behind") >= needed))
+    pairs = keep(alike.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct(), "simhash-apart")
+    root = lambda n, to: held.select(F.col("node").alias(n), F.col("root").alias(to))
+    return _verified(pairs, held, similarity).join(root("a", "x"), "a").join(root("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+
+
 def near_duplicates_by_similarity(docs: DataFrame, *, shingle: int = 3, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id and component_id of each row of ``docs`` (doc_id, text): texts are linked by fingerprints at two or fewer differing bits, and by a Jaccard similarity of shingles of ``words`` words.
 
@@ -283,8 +319,10 @@ def _by_similarity(docs: DataFrame, shingle: int, words: int, similarity: float)
     rep = lambda n, to: one.select(F.col("fp").alias(n), F.col("node").alias(to))
     edges = by_fp.join(rep("a", "x"), "a").join(rep("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     edges = edges.unionAll(least.join(rep("fp", "y"), "fp").where("node <> y").select(F.col("node").alias("a"), F.col("y").alias("b")))
-    edges = edges.unionAll(similar_pairs(seen, least, similarity))
-    roots = connected(edges)
+    close, crowd = similar_pairs(seen, least, similarity)
+    roots = connected(edges.unionAll(close))
+    joined = connected(pairs_of_crowd(seen, crowd, roots, similarity)).select(F.col("node").alias("root"), F.col("root").alias("to"))
     grouped = least.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    grouped = grouped.join(joined, "root", "left").select("node", "least", F.coalesce("to", "root").alias("root"))
     comp = grouped.join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     return seen.select("doc_id", "node").join(comp, "node").select("doc_id", "component_id")

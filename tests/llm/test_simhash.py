@@ -92,6 +92,24 @@ def test_many_copies_of_one_text(make_docs):
     assert sum(rows[i] == 0 for i in near) >= 0.97 * len(near)
 
 
+def test_large_groups_are_linked_whole(make_docs):
+    """Copies like one text only, where others of their group hold passages that more texts share, and groups under one template."""
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    texts = []
+    for _ in range(3):
+        base, passages = text(250), [text(30) for _ in range(2)]
+        texts += [base, *(edited(rng, base, 0.018) for _ in range(60))]
+        texts += [f"{edited(rng, base, 0.02)} {' '.join(passages)}" for _ in range(6)]
+        texts += [f"{text(40)} {' '.join(passages)} {text(40)}" for _ in range(90)]
+    template = text(160)
+    for _ in range(12):
+        own = f"{template} {text(60)}"
+        texts += [own, *(edited(rng, own, 0.012) for _ in range(8))]
+    rows = {r.doc_id: r.component_id for r in simhash.near_duplicates_by_similarity(make_docs(texts)).collect()}
+    assert [rows[i] for i in range(len(texts))] == partition_wide(texts)
+
+
 def test_links_in_buckets_of_any_size(spark):
     rng = random.Random(3)
     fps = set()
