@@ -46,6 +46,12 @@ def search_postings(t):
     return search.postings(t.documents.where("doc_id < 100"), "doc_id", "text")
 
 
+@query(f"SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) WHERE length(term) >= 2 AND term NOT IN {_STOP} GROUP BY 1, 2")
+def search_postings_all(t):
+    """The index of all documents; search_postings is held to a statement over the first hundred."""
+    return search.postings(t.documents, "doc_id", "text")
+
+
 @query("WITH w AS (SELECT conv_id * 1000 + turn AS id, regexp_extract_all(lower(regexp_replace(text, '[^A-Za-z0-9\\s]', ' ', 'g')), '[^\\s]+') AS t FROM conversations), f AS (SELECT id, term, count(*)::DOUBLE / any_value(n) AS tf FROM (SELECT id, len(t) AS n, unnest(t) AS term FROM w) GROUP BY 1, 2), d AS (SELECT term, ln(((SELECT count(*) FROM w) + 1.0) / (count(*) + 1)) + 1 AS idf FROM f GROUP BY 1) SELECT id, term, round(tf * idf, 6) AS weight FROM f JOIN d USING (term)")
 def search_tfidf(t):
     rows = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
