@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import keep, new_path
 
 MAGIC = b"\x1f\x8b\x08"
-#: Bytes read at once, and the most that the headers of a record may take.
-BLOCK, HEAD = 1 << 20, 1 << 16
+#: Bytes read at once.
+BLOCK = 1 << 20
 
 
 def digest32(payload: bytes) -> str:
@@ -122,7 +122,7 @@ def decoded(src: Source) -> tuple[dict[str, str], bytes] | None:
     """The record of the member at the source's offset, which then moves past it; None, and no move, if there is no valid one."""
     z, out, at, step = zlib.decompressobj(31), bytearray(), 0, 1 << 14
     head: dict[str, str] | None = None
-    size = 0
+    size = looked = 0
     while not z.eof:
         while at >= len(src.data):
             if not src.more():
@@ -136,14 +136,13 @@ def decoded(src: Source) -> tuple[dict[str, str], bytes] | None:
         if head is None and out:  # judged by the first bytes that come out
             if not bytes(out[:7]).startswith(b"WARC/1."[: len(out)]):
                 return None
-            end = out.find(b"\r\n\r\n")
+            end = out.find(b"\r\n\r\n", max(0, looked - 3))
+            looked = len(out)
             if end >= 0:
                 head, size = _headers(bytes(out[:end])), end + 4
                 if not head.get("content-length", "").isdigit():
                     return None
                 step = BLOCK
-            elif len(out) > HEAD:
-                return None
     if head is None or len(out) < size + int(head["content-length"]):
         return None
     src.skip(at - len(z.unused_data))
@@ -210,11 +209,16 @@ def read(archives: DataFrame, *, split_bytes: int = 16 << 20, tasks: int | None
 def round_trip(pages: DataFrame, *, least_bytes: int = 0, split_bytes: int = 16 << 20) -> DataFrame:
     """Write ``pages`` and read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     folder = new_path(pages.sparkSession, "warc")
-    found = read(write(revisits(pages, least_bytes), folder), split_bytes=split_bytes)
+    archives = write(revisits(pages, least_bytes), folder)
+    found = read(archives, split_bytes=split_bytes)
     head = lambda name: F.col("headers")[name]
     page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1)
     number = lambda c: F.when(page(c) != "", page(c).cast("long"))
-    return found.select(
+    records = keep(found.select(
         number(head("warc-record-id")).alias("page_id"), head("x-payload-length").cast("long").alias("payload_bytes"), F.regexp_replace(head("warc-payload-digest"), "^sha1:", "").alias("payload_digest"),
         head("warc-type").alias("record_type"), number(head("warc-refers-to")).alias("refers_to"),
-    )
+    ), "warc-records")
+    written, got = archives.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0], records.count()
+    if written != got:
+        raise RuntimeError(f"{written} records were written, {got} read")
+    return records

@@ -2,6 +2,10 @@ import base64
 import gzip
 import hashlib
 import io
+import random
+import string
+
+import pytest
 
 from brindle.llm import warc
 
@@ -65,6 +69,21 @@ def test_members_are_gzip():
     assert plain.count(b"WARC/1.1\r\n") == 2 and b"WARC-Refers-To: <urn:page:1>" in plain
 
 
+def test_long_urls(spark):
+    rng = random.Random(1)
+    url = "http://a/" + "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(200 << 10))
+    (got,) = warc.records_in(File(data := warc.record(1, url, b"x", None)), len(data), 0, len(data))
+    assert got[1]["warc-target-uri"] == url and got[2] == b"x"
+    assert {r.page_id for r in warc.round_trip(pages(spark, [(1, url, "x"), (2, "u", "y"), (3, url, "x")])).collect()} == {1, 2, 3}
+
+
+def test_lost_records_are_noticed(spark, monkeypatch):
+    whole = warc.read
+    monkeypatch.setattr(warc, "read", lambda *a, **b: whole(*a, **b).limit(1))
+    with pytest.raises(RuntimeError, match="2 records were written, 1 read"):
+        warc.round_trip(pages(spark, [(1, "u", "a"), (2, "u", "b")]))
+
+
 def test_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], SCHEMA)).collect() == []
 
