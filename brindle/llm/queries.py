@@ -56,6 +56,11 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def op9_mix_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same mix of the whole table: texts are replicated and shuffled with their rows."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(~quality.held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("y"))
@@ -63,4 +68,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_brown_lm, op3_suffix_dedup, op4_simhash, op5_pii, op6_imatch, op7_warc, op8_decontaminate, op9_mix, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_brown_lm, op3_suffix_dedup, op4_simhash, op5_pii, op6_imatch, op7_warc, op8_decontaminate, op9_mix, op9_mix_documents, op10_quality)}

@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from brindle.llm import mixing
+from brindle.llm import mixing, queries
 
 
 def uniform(doc, seed):
@@ -58,6 +58,16 @@ def test_shuffle_and_repeatability(spark):
         assert [r.shuffle_key for r in part] == sorted(r.shuffle_key for r in part)
 
 
+def test_query_mixes_the_texts(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}", "en", f"s{i % 3}", 6) for i in range(200)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op9_mix_documents"](spark, str(tmp_path))
+    rows = got.collect()
+    assert got.columns == [*docs.columns, "copy", "shuffle_key"] and rows and all(r.text == f"text {r.doc_id}" for r in rows)
+    narrow = queries.QUERIES["op9_mix"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.select(narrow.columns).collect())) == sorted(map(tuple, narrow.collect()))
+
+
 def test_no_python_in_the_plan(spark):
     plan = mixing.mix(rows_of(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan.replace("ArrowSchema", "")
