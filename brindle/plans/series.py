@@ -68,6 +68,24 @@ def series_kalman(t):
     return windows.kalman(t.events.where("user_id <= 20"), "value", _BY, _ORD).select("event_id", F.round("estimate", 4).alias("estimate"))
 
 
+# series_ema, series_macd and series_kalman are held to recursive statements over twenty users; these run over all events
+
+
+@query()
+def series_ema_all(t):
+    return windows.ema(t.events, "value", 0.25, _BY, _ORD).select("event_id", F.round("ema", 4).alias("ema"))
+
+
+@query()
+def series_macd_all(t):
+    return windows.macd(t.events, "value", _BY, _ORD).select("event_id", *[F.round(c, 4).alias(c) for c in ("macd", "signal", "histogram")])
+
+
+@query()
+def series_kalman_all(t):
+    return windows.kalman(t.events, "value", _BY, _ORD).select("event_id", F.round("estimate", 4).alias("estimate"))
+
+
 @query("SELECT user_id, min(value) AS min, max(value) AS max, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std, count(value) AS count FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-17' GROUP BY 1")
 def series_slice_stats(t):
     from datetime import datetime

@@ -2,6 +2,9 @@
 
 import random
 from collections import Counter
+from datetime import datetime, timedelta
+
+import pytest
 
 from brindle import registry
 from brindle.operators.search import STOP_WORDS
@@ -14,3 +17,31 @@ def test_postings_of_all_documents(spark, tmp_path):
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r.term, r.doc_id): r.tf for r in registry.QUERIES["search_postings_all"](spark, str(tmp_path)).collect()}
     assert got == Counter((w, i) for i, t in texts.items() for w in t.split())
+
+
+def folds(values):
+    """(ema, macd, signal, kalman) of each value of a series."""
+    ema, a, b, s, x, p = values[0], values[0], values[0], 0.0, values[0], 2 / 3
+    out = [(ema, 0.0, s, x)]
+    for v in values[1:]:
+        ema = 0.25 * v + 0.75 * ema
+        a, b = a + (v - a) * 2 / 13, b + (v - b) * 2 / 27
+        s = 0.2 * (a - b) + 0.8 * s
+        gain = (p + 1) / (p + 2)
+        x, p = x + gain * (v - x), (1 - gain) * (p + 1)
+        out.append((ema, a - b, s, x))
+    return out
+
+
+def test_folds_of_all_users(spark, tmp_path):
+    rng = random.Random(2)
+    series = {u: [rng.uniform(0, 100) for _ in range(rng.randint(1, 30))] for u in range(1, 41)}
+    start = datetime(2024, 1, 1)
+    rows = [(u * 100 + i, u, start + timedelta(hours=i), v) for u, vs in series.items() for i, v in enumerate(vs)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, value double").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    want = {u * 100 + i: f for u, vs in series.items() for i, f in enumerate(folds(vs))}
+    ema, macd, kalman = ({r.event_id: r for r in registry.QUERIES[n](spark, str(tmp_path)).collect()} for n in ("series_ema_all", "series_macd_all", "series_kalman_all"))
+    assert set(ema) == set(macd) == set(kalman) == set(want)
+    for i, (e, m, s, k) in want.items():
+        assert (ema[i].ema, macd[i].macd, macd[i].signal, kalman[i].estimate) == pytest.approx((e, m, s, k), abs=2e-4)
+        assert macd[i].histogram == pytest.approx(m - s, abs=2e-4)
