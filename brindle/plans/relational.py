@@ -68,6 +68,41 @@ def join_null_keys(t):
     return joins.key_join(left, t.nation.selectExpr("nullif(n_nationkey % 4, 0) as k", "n_name"), "k", "k")
 
 
+def _all_sides(t: Tables):
+    """All orders and all customers; the customers' keys are doubled, so that either side has rows without a match."""
+    return t.orders.select("o_orderkey", "o_custkey", F.lit("order").alias("side")), t.customer.select((F.col("c_custkey") * 2).alias("c_custkey"), "c_name", F.lit("customer").alias("side"))
+
+
+def _join_all_sql(kind: str) -> str:
+    return f"SELECT o.o_orderkey, o.o_custkey, c.c_custkey, c.c_name, c.side FROM orders o {kind} JOIN (SELECT c_custkey * 2 AS c_custkey, c_name, 'customer' AS side FROM customer) c ON o.o_custkey IS NOT DISTINCT FROM c.c_custkey"
+
+
+@query(_join_all_sql("INNER"))
+def join_inner_all(t):
+    return joins.key_join(*_all_sides(t), "o_custkey", "c_custkey")
+
+
+@query(_join_all_sql("LEFT"))
+def join_left_all(t):
+    return joins.key_join(*_all_sides(t), "o_custkey", "c_custkey", "left")
+
+
+@query(_join_all_sql("RIGHT"))
+def join_right_all(t):
+    return joins.key_join(*_all_sides(t), "o_custkey", "c_custkey", "right")
+
+
+@query(_join_all_sql("FULL"))
+def join_full_all(t):
+    return joins.key_join(*_all_sides(t), "o_custkey", "c_custkey", "full")
+
+
+@query("SELECT l.l_linenumber, r.k, r.n_name FROM (SELECT l_linenumber, nullif(l_linenumber % 3, 0) AS k FROM lineitem) l JOIN (SELECT nullif(n_nationkey % 4, 0) AS k, n_name FROM nation) r ON l.k IS NOT DISTINCT FROM r.k")
+def join_null_keys_all(t):
+    left = t.lineitem.selectExpr("l_linenumber", "nullif(l_linenumber % 3, 0) as k")
+    return joins.key_join(left, t.nation.selectExpr("nullif(n_nationkey % 4, 0) as k", "n_name"), "k", "k")
+
+
 @query("SELECT c.* FROM customer c WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def join_semi(t):
     return joins.semi_join(t.customer, t.orders.where("o_totalprice > 300000"), "c_custkey", "o_custkey")

@@ -63,6 +63,42 @@ def graph_page_rank(t):
     return graph.page_rank(_edges(t), 5).select("node", F.round("rank", 8).alias("rank"))
 
 
+def _all_edges(t: Tables):
+    """Suppliers and parts, as numbers of one range, of all line items."""
+    return t.lineitem.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_quantity").alias("weight"))
+
+
+@query("SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT l_suppkey AS node, 1 AS o, 0 AS i FROM lineitem UNION ALL SELECT l_partkey, 0, 1 FROM lineitem) GROUP BY 1")
+def graph_degrees_all(t):
+    return graph.degrees(_all_edges(t))
+
+
+@query()
+def graph_components_all(t):
+    return graph.components(_all_edges(t).select("src", "dst"))
+
+
+@query()
+def graph_bfs_all(t):
+    e = graph.undirected(_all_edges(t))
+    return graph.bfs(e, e.agg(F.min("src")).first()[0])
+
+
+@query("WITH f AS (SELECT DISTINCT least(l_suppkey, l_partkey) AS a, greatest(l_suppkey, l_partkey) AS b FROM lineitem WHERE l_suppkey <> l_partkey) SELECT x.a, x.b, y.b AS c FROM f x JOIN f y ON x.b = y.a JOIN f z ON z.a = x.a AND z.b = y.b")
+def graph_triangles_all(t):
+    return graph.triangles(_all_edges(t).select("src", "dst"))
+
+
+@query()
+def graph_spanning_tree_all(t):
+    return graph.minimum_spanning_tree(_all_edges(t)).agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("weight"), 4).alias("weight"))
+
+
+@query()
+def graph_page_rank_all(t):
+    return graph.page_rank(_all_edges(t), 5).select("node", F.round("rank", 8).alias("rank"))
+
+
 @query("SELECT id, root, CAST(depth AS INTEGER) AS depth FROM (SELECT 'r' || r_regionkey AS id, 'r' || r_regionkey AS root, 0 AS depth FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 1 FROM nation UNION ALL SELECT 's' || s_suppkey, 'r' || n_regionkey, 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey)")
 def tree_walk(t):
     """Regions, nations and suppliers as one forest of id and parent."""
@@ -110,6 +146,15 @@ def geo_box_join(t):
     return spatial.box_join(box, box, 2.0).where("a_id < b_id")
 
 
+_ALL_BOX = "(SELECT p_partkey AS id, p_size * 1.0 AS x0, p_retailprice / 50 AS y0, p_size + 0.5 AS x1, p_retailprice / 50 + 0.5 AS y1 FROM part)"
+
+
+@query(f"SELECT a.id AS a_id, b.id AS b_id FROM {_ALL_BOX} a JOIN {_ALL_BOX} b ON a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 WHERE a.id < b.id")
+def geo_box_join_all(t):
+    box = t.part.selectExpr("p_partkey as id", "p_size * 1.0D as x0", "p_retailprice / 50 as y0", "p_size + 0.5D as x1", "p_retailprice / 50 + 0.5D as y1")
+    return spatial.box_join(box, box, 2.0).where("a_id < b_id")
+
+
 @query()
 def geo_convex_hull(t):
     return spatial.convex_hull(_geo(t), "lon", "lat")

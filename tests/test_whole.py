@@ -45,3 +45,37 @@ def test_folds_of_all_users(spark, tmp_path):
     for i, (e, m, s, k) in want.items():
         assert (ema[i].ema, macd[i].macd, macd[i].signal, kalman[i].estimate) == pytest.approx((e, m, s, k), abs=2e-4)
         assert macd[i].histogram == pytest.approx(m - s, abs=2e-4)
+
+
+def test_graphs_of_all_line_items(spark, tmp_path):
+    rng = random.Random(3)
+    edges = [(rng.randint(1, 12), rng.choice([rng.randint(1, 40), rng.randint(41, 90)]), float(rng.randint(1, 50))) for _ in range(45)]
+    spark.createDataFrame(edges, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    run = lambda n: registry.QUERIES[n](spark, str(tmp_path)).collect()
+    root = {x: x for a, b, _ in edges for x in (a, b)}
+    for _ in root:
+        for a, b, _ in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {r.node: r.component for r in run("graph_components_all")} == root
+    level = {min(root): 0}
+    for _ in root:
+        for a, b, _ in edges:
+            for x, y in ((a, b), (b, a)):
+                if x in level:
+                    level[y] = min(level.get(y, 99), level[x] + 1)
+    assert {r.node: r.level for r in run("graph_bfs_all")} == level
+    tree, kept = {x: x for x in root}, []
+    for a, b, w in sorted(edges, key=lambda e: e[2]):
+        if tree[a] != tree[b]:
+            old, new = tree[a], tree[b]
+            tree = {x: new if t == old else t for x, t in tree.items()}
+            kept.append(w)
+    assert [tuple(r) for r in run("graph_spanning_tree_all")] == [(len(kept), sum(kept))]
+    assert {r.node for r in run("graph_page_rank_all")} == set(root)
+
+
+def test_outer_joins_keep_every_order_and_customer(spark, tmp_path):
+    spark.createDataFrame([(i, i % 9) for i in range(40)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(i, f"c{i}") for i in range(11)], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    rows = registry.QUERIES["join_full_all"](spark, str(tmp_path)).collect()
+    assert {r.o_orderkey for r in rows} == {*range(40), None} and {r.c_custkey for r in rows} == {*range(0, 22, 2), None}
