@@ -13,16 +13,18 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder named by spark.checkpoint.dir; one of our own only where it is unset and all tasks run in this process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = getattr(spark.sparkContext, "_brindle_shared", None)
         if root is None:
             root = "file://" + tempfile.mkdtemp(prefix="brindle-")
@@ -34,6 +36,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for columns of our own, like those wanted, that ``df`` has not."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def named(columns: list[str]) -> list[Column]:
+    """The columns of these names, whatever signs the names hold."""
+    return [F.col(quoted(c)) for c in columns]
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
     path = new_path(df.sparkSession, name)

@@ -51,13 +51,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target weights by row count to the power 0.7; the mixed rows without their texts."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
-    return mixing.mix(docs)
-
-
-def op9_mix_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same mix of the whole table: texts are replicated and shuffled with their rows."""
+    """The whole table, texts and all, mixed to target weights by row count to the power 0.7."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
@@ -68,4 +62,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_brown_lm, op3_suffix_dedup, op4_simhash, op5_pii, op6_imatch, op7_warc, op8_decontaminate, op9_mix, op9_mix_documents, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_brown_lm, op3_suffix_dedup, op4_simhash, op5_pii, op6_imatch, op7_warc, op8_decontaminate, op9_mix, op10_quality)}

@@ -47,13 +47,13 @@ FROM ruled JOIN known USING (host)
 OP9 = """
 WITH sources AS (SELECT source AS src, count(*)::DOUBLE AS n, pow(count(*)::DOUBLE, 0.7) AS w FROM documents GROUP BY 1),
 rates AS (SELECT src, w / (SELECT sum(w) FROM sources) * (SELECT sum(n) FROM sources) / n AS rate FROM sources),
-terms AS (SELECT src, rate, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p FROM rates, range(0, 60) t(k)),
+terms AS (SELECT src, rate, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p FROM (SELECT *, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 25)::BIGINT)) AS k FROM rates)),
 cdf AS (SELECT src, k, sum(p) OVER (PARTITION BY src ORDER BY k) AS c FROM terms),
 lists AS (SELECT src, list(c ORDER BY k) AS cs FROM cdf GROUP BY src),
 drawn AS (
   SELECT d.*, len(list_filter(cs, lambda c: c <= ('0x' || substr(md5('brindle:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0)) AS m
   FROM documents d JOIN lists ON d.source IS NOT DISTINCT FROM src)
-SELECT doc_id, source, lang, n_chars, copy::INTEGER AS copy, md5('brindle:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy::VARCHAR) AS shuffle_key
+SELECT doc_id, text, lang, source, n_chars, copy::INTEGER AS copy, md5('brindle:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy::VARCHAR) AS shuffle_key
 FROM (SELECT *, unnest(range(0, m)) AS copy FROM drawn)
 """
 

@@ -61,11 +61,33 @@ def test_shuffle_and_repeatability(spark):
 def test_query_mixes_the_texts(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"text {i}", "en", f"s{i % 3}", 6) for i in range(200)], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    got = queries.QUERIES["op9_mix_documents"](spark, str(tmp_path))
+    got = queries.QUERIES["op9_mix"](spark, str(tmp_path))
     rows = got.collect()
     assert got.columns == [*docs.columns, "copy", "shuffle_key"] and rows and all(r.text == f"text {r.doc_id}" for r in rows)
-    narrow = queries.QUERIES["op9_mix"](spark, str(tmp_path))
-    assert sorted(map(tuple, got.select(narrow.columns).collect())) == sorted(map(tuple, narrow.collect()))
+
+
+@pytest.mark.parametrize("rate", [0.001, 0.7, 12.5, 600.6, 800.0, 5000.0])
+def test_distribution_has_the_mean_and_variance_of_its_rate(spark, rate):
+    d = spark.createDataFrame([(rate,)], "rate double").select(mixing.distribution("rate").alias("d")).first().d
+    p = [b - a for a, b in zip([0.0, *d.cdf], d.cdf)]
+    mean = sum((d.low + i) * x for i, x in enumerate(p))
+    assert d.cdf[-1] == 1.0 and mean == pytest.approx(rate, rel=1e-9)
+    assert sum((d.low + i - mean) ** 2 * x for i, x in enumerate(p)) == pytest.approx(rate, rel=1e-9)
+
+
+def test_a_large_rate_is_drawn_whole(spark):
+    docs = spark.range(300).selectExpr("id as doc_id", "'a' as source")
+    got = [r["count"] for r in mixing.mix(docs, spark.createDataFrame([("a", 1.0)], "source string, weight double"), size=800.6).groupBy("doc_id").count().collect()]
+    mean = sum(got) / 300
+    assert mean == pytest.approx(800.6, abs=6) and sum((x - mean) ** 2 for x in got) / 300 == pytest.approx(800, rel=0.25)
+
+
+def test_names_of_the_result_are_replaced_and_others_stay(spark):
+    docs = spark.createDataFrame([(i, "a", 7, "x", "y", "z", "w") for i in range(50)], "doc_id long, source string, _n long, _src string, copy string, shuffle_key string, `a.b` string")
+    got = mixing.mix(docs)
+    assert got.columns == ["doc_id", "source", "_n", "_src", "a.b", "copy", "shuffle_key"]
+    rows = got.collect()
+    assert rows and all((r._n, r._src, r["a.b"]) == (7, "x", "w") and isinstance(r.copy, int) and len(r.shuffle_key) == 32 for r in rows)
 
 
 def test_no_python_in_the_plan(spark):
@@ -77,5 +99,5 @@ def test_large_rates_and_edges(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b"), (None, "b"), (2, "b")], "doc_id long, source string")
     weights = spark.createDataFrame([("a", 1.0)], "source string, weight double")
     got = mixing.mix(docs, weights, size=500.0).collect()
-    assert {r.doc_id for r in got} == {1} and 1500 < len(got) < 2500
+    assert {r.doc_id for r in got} == {1} and 1800 < len(got) < 2200
     assert mixing.mix(docs.limit(0)).collect() == []
