@@ -23,11 +23,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-from .common import as_bytes, keep
+from .common import as_bytes, fresh, keep
 
 #: Bytes that are no part of a word become blanks, A-Z lower case; bytes of non-ASCII characters belong to words.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -38,31 +38,25 @@ def words_of(raw: bytes) -> list[bytes]:
 
 
 class Automaton:
-    """Generalised suffix automaton over word numbers; number 0 is any word that no item has."""
+    """Generalised suffix automaton over word numbers; number 0 is any word that no item has.
+
+    Built and read in time linear in the words, whatever their repeats: each state knows the state of
+    its last window and the next one with a whole item, and items stand on window states only.
+    """
 
     def __init__(self, items: Sequence[tuple[str, list[bytes]]], window: int):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        own: list[set[int]] = [set()]
         self.names = sorted({n for n, _ in items})
         number = {n: i for i, n in enumerate(self.names)}
         coded = [(number[n], [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]) for n, words in items]
-        for item, codes in coded:
+        for _, codes in coded:
             last = 0
             for c in codes:
                 last = self._extend(last, c)
-                while len(own) < len(self.length):
-                    own.append(set())
-                own[last].add(item)
-        while len(own) < len(self.length):
-            own.append(set())
-        for s in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
-            own[self.link[s]] |= own[s]
-        own[0] = set()
-        self.items = [frozenset(x) for x in own]
-        #: state -> (length, item) of whole items under the window that it holds
+        #: state -> length and item of the whole items under the window that are its longest sequences
         self.whole: dict[int, list[tuple[int, int]]] = {}
         for item, codes in coded:
             if len(codes) < window:
@@ -71,6 +65,22 @@ class Automaton:
                     s = self.next[s][c]
                 if (len(codes), item) not in self.whole.setdefault(s, []):
                     self.whole[s].append((len(codes), item))
+        # of each state: the one on its way to the root that holds its last window (0: none), and the next one with a whole item
+        size = len(self.length)
+        self.at_window, self.at_whole = [0] * size, [0] * size
+        for s in sorted(range(1, size), key=self.length.__getitem__):
+            up = self.link[s]
+            if self.length[s] >= window:
+                self.at_window[s] = s if self.length[up] < window else self.at_window[up]
+            self.at_whole[s] = s if s in self.whole else self.at_whole[up]
+        #: the items of each window state
+        self.items: dict[int, set[int]] = {}
+        for item, codes in coded:
+            s = 0
+            for c in codes:
+                s = self.next[s][c]
+                if self.at_window[s]:
+                    self.items.setdefault(self.at_window[s], set()).add(item)
         self.least = min([window, *(n for x in self.whole.values() for n, _ in x)], default=window)
         v = len(self.vocabulary) + 1
         self.base = v
@@ -128,6 +138,8 @@ class Automaton:
             return None, found
         change = np.zeros(n + 1, np.int64)
         window, nxt, link, length, whole = self.window, self.next, self.link, self.length, self.whole
+        at_window, at_whole = self.at_window, self.at_whole
+        windows: set[int] = set()
         for start, end in zip(starts[long].tolist(), ends[long].tolist()):
             s = size = 0
             for i, c in enumerate(codes[start:end].tolist(), start):
@@ -136,18 +148,20 @@ class Automaton:
                     size = length[s]
                 s = nxt[s].get(c, 0)
                 size = size + 1 if s else 0
-                up = s
-                while up > 0:
-                    if size >= window and length[link[up]] < window <= length[up]:
-                        found |= self.items[up]
-                        change[i - window + 1] += 1
-                        change[i + 1] -= 1
-                    for k, item in whole.get(up, ()):
+                if size >= window:
+                    windows.add(at_window[s])
+                    change[i - window + 1] += 1
+                    change[i + 1] -= 1
+                up = at_whole[s]
+                while up:  # under ``window`` steps, as the whole items on the way differ in length
+                    for k, item in whole[up]:
                         if k <= size:
                             found.add(item)
                             change[i - k + 1] += 1
                             change[i + 1] -= 1
-                    up = link[up]
+                    up = at_whole[link[up]]
+        for s in windows:
+            found |= self.items[s]
         hit = np.cumsum(change[:-1]) > 0
         return (hit if hit.any() else None), found
 
@@ -168,23 +182,25 @@ def chunks(benchmark: DataFrame, window: int, chunk_words: int) -> Iterator[Auto
         yield Automaton(part, window)
 
 
-
 def _intervals(hit: np.ndarray | None) -> list[int]:
     """Start and end (exclusive) of each run, one after the other."""
     return [] if hit is None else np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))).tolist()
 
 
-def _scanned(docs: DataFrame, automaton: Automaton | None, known: bool) -> DataFrame:
-    """``docs`` with _n (words), _hits (runs of hit words) and _items; known: those of an earlier pass are there and are added to."""
-    sent = docs.sparkSession.sparkContext.broadcast(automaton)
-    new = [StructField("_n", LongType()), StructField("_hits", ArrayType(LongType())), StructField("_items", ArrayType(StringType()))]
-    schema = docs.schema if known else StructType([*docs.schema.fields, *new])
+Names = tuple[str, str, str]  # of the columns for the number of words, the runs of hit words, the items
+
+
+def _scanned(docs: DataFrame, sent, own: Names, known: bool) -> DataFrame:
+    """``docs`` with the columns ``own``; known: those of an earlier pass are there and are added to."""
+    types = (LongType(), ArrayType(LongType()), ArrayType(StringType()))
+    schema = docs.schema if known else StructType([*docs.schema.fields, *map(StructField, own, types)])
+    width = len(docs.columns) - 3 * known
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = sent.value
         for b in batches:
             count, hits, items = [], [], []
-            before = zip(b.column("_hits").to_pylist(), b.column("_items").to_pylist()) if known else None
+            before = zip(b.column(width + 1).to_pylist(), b.column(width + 2).to_pylist()) if known else None
             for t in as_bytes(b.column("text")):
                 words = words_of(t or b"")
                 hit, found = a.scan(words) if a else (None, set())
@@ -199,20 +215,22 @@ def _scanned(docs: DataFrame, automaton: Automaton | None, known: bool) -> DataF
                 count.append(len(words))
                 hits.append(_intervals(hit))
                 items.append(sorted(names))
-            own = [c for c, n in zip(b.columns, b.schema.names) if n not in ("_n", "_hits", "_items")]
-            names_out = [n for n in b.schema.names if n not in ("_n", "_hits", "_items")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(count, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=[*names_out, "_n", "_hits", "_items"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(count, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
-def scanned(docs: DataFrame, benchmark: DataFrame, window: int, chunk_words: int) -> DataFrame:
-    """All passes; where there are more than one, each result is written to the shared folder."""
-    known = False
+def scanned(docs: DataFrame, benchmark: DataFrame, window: int, chunk_words: int) -> tuple[DataFrame, Names, list]:
+    """All passes, the names of the columns that they add, and the automata as they were sent; where there are more than one, each result is written to the shared folder."""
+    own, sent = tuple(fresh(docs, "_n", "_hits", "_items")), []
     for automaton in chunks(benchmark, window, chunk_words):
-        docs = _scanned(keep(docs, "decontaminate") if known else docs, automaton, known)
-        known = True
-    return docs if known else _scanned(docs, None, False)
+        sent.append(docs.sparkSession.sparkContext.broadcast(automaton))
+        docs = _scanned(keep(docs, "decontaminate") if len(sent) > 1 else docs, sent[-1], own, len(sent) > 1)
+    return docs if sent else _scanned(docs, docs.sparkSession.sparkContext.broadcast(None), own, False), own, sent
+
+
+def _hit_words(hits: str) -> Column:
+    return F.aggregate(F.transform(hits, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda x, y: x + y)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, chunk_words: int = 200_000) -> DataFrame:
@@ -220,33 +238,48 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, ch
 
     contaminated: some word is hit, and the hit words are a twentieth of all or more.
     """
-    seen = scanned(docs.select("doc_id", "text"), benchmark, window, chunk_words)
-    n_hit = F.aggregate(F.transform("_hits", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda x, y: x + y)
+    seen, (n, hits, items), _ = scanned(docs.select("doc_id", "text"), benchmark, window, chunk_words)
     return seen.select(
-        "doc_id", F.col("_n").alias("n_words"), n_hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "_items"), 256).alias("items_sha256"),
+        "doc_id", F.col(n).alias("n_words"), _hit_words(hits).alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"),
     ).withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, coverage: float = 0.05, drop_from: float = 0.5, chunk_words: int = 200_000) -> DataFrame:
-    """``docs`` without benchmark passages; all columns stay, only text changes.
+def remove_spans(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, drop_from: float = 0.5, chunk_words: int = 200_000) -> DataFrame:
+    """``docs`` without benchmark passages; all columns stay, whatever their names, and only text changes.
 
-    A document of which fewer than ``coverage`` of the words are hit is left as it is.
-    From there on its hit runs are cut out of the text, and one from ``drop_from`` on
-    is dropped as a whole.
+    A document with a share ``drop_from`` of its words hit, or more, is dropped. Of others the
+    hit runs are cut out, and again where what is left around a cut makes a window, so
+    that no window is left. Null texts stay null.
     """
-    share = F.expr("aggregate(transform(_hits, (x, i) -> if(i % 2 = 1, x, -x)), 0L, (x, y) -> x + y) / greatest(_n, 1)")
-    seen = scanned(docs, benchmark, window, chunk_words).withColumn("_share", share).where(F.col("_share").isNull() | (F.col("_share") < coverage) | (F.col("_share") < drop_from))
-
-    names, schema = docs.columns, docs.schema
+    seen, (n, hits, items), sent = scanned(docs, benchmark, window, chunk_words)
+    (cut,) = fresh(seen, "_cut")
+    stays = (_hit_words(hits) == 0) | (_hit_words(hits) < F.lit(drop_from) * F.col(n))
+    schema, at = docs.schema, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = zip(as_bytes(b.column("text")), b.column("_hits").to_pylist(), b.column("_share").to_pylist())
-            texts = [_cut(t, runs) if runs and s >= coverage else t for t, runs, s in rows]
-            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if n == "text" else c for c, n in zip(b.columns, b.schema.names)]
-            yield pa.RecordBatch.from_arrays(columns[: len(names)], names=names)
+        alone = sent[0].value if len(sent) == 1 else None
+
+        def rest(text: bytes, runs: list[int]) -> bytes:
+            while runs:
+                text = _cut(text, runs)
+                runs = _intervals(alone.scan(words_of(text))[0]) if alone else []
+            return text
 
-    return seen.mapInArrow(run, schema)
+        for b in batches:
+            found = b.column(hits).to_pylist()
+            texts = [rest(t, runs) if runs else t for t, runs in zip(as_bytes(b.column("text")), found)]
+            columns = b.columns[: len(schema)]
+            columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([bool(x) for x in found], pa.bool_())], names=[*schema.names, cut])
+
+    out = seen.where(stays).mapInArrow(run, StructType([*schema.fields, StructField(cut, BooleanType())]))
+    if len(sent) < 2:
+        return out.drop(cut)
+    # several automata: the few texts that were cut go through all passes again, until none is
+    out = keep(out, "decontaminate-cut")
+    more = out.where(F.col(cut)).drop(cut)
+    done = out.where(~F.col(cut)).drop(cut)
+    return done.unionAll(remove_spans(more, benchmark, window=window, drop_from=1.1, chunk_words=chunk_words)) if more.limit(1).count() else done
 
 
 def _cut(raw: bytes, runs: list[int]) -> bytes:

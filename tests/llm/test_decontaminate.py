@@ -69,3 +69,21 @@ def test_empty_tables(spark, make_docs):
     assert decontaminate.contamination(make_docs(["a"]).limit(0), none).collect() == []
     r = decontaminate.contamination(make_docs(["a b"]), none).first()
     assert (r.n_words, r.n_hit, r.contaminated) == (2, 0, False)
+
+
+def test_repetitive_texts_take_linear_time():
+    import time
+
+    same = [b"same"] * 100_000
+    began = time.time()
+    a = decontaminate.Automaton([("1", same[:20_000]), ("2", same[:5])], 13)
+    hit, found = a.scan(same)
+    assert hit.all() and found == {0, 1} and time.time() - began < 5
+
+
+@pytest.mark.parametrize("chunk", [200_000, 3])
+def test_no_window_is_left_around_a_cut(spark, make_docs, chunk):
+    bench = spark.createDataFrame([(1, "a b c d"), (2, "x y z"), (3, "q r")], "item_id long, text string")
+    docs = make_docs(["more a b x y z c d words q a b c d r end " + "pad " * 40, "a b c d", "pad " * 99 + "q r"])
+    rows = {r.doc_id: r.text.split() for r in decontaminate.remove_spans(docs, bench, chunk_words=chunk).collect()}
+    assert rows == {0: ["more", "words", "end", *["pad"] * 40], 2: ["pad"] * 99}
