@@ -9,7 +9,7 @@ say little: the difference counts by words / (words + ``doubt``), so very short
 lean on the share of the classes.
 
 Defined results: a null text is an empty one; an empty text has all-zero counts and a
-score like any other. Labels that are null, contradict each other for one document,
+score like any other. Repeated rows are scored each. Labels that are null, contradict each other for one document,
 or name unknown documents are left out. If a class has under two rows, the score is
 the share of label 1 (0.5 without labels).
 """
@@ -126,7 +126,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, shrink: f
 
 
 def score(docs: DataFrame, model: Discriminant, name: str = "score") -> DataFrame:
-    """``docs`` with a new column ``name``; all other columns stay."""
+    """``docs`` with a column ``name``, which replaces one of that name; all other columns stay."""
+    docs = docs.drop(name)
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

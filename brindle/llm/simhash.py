@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, connected, keep, out_batches, scratch
+from .common import as_bytes, connected, fresh, keep, named, out_batches, scratch
 
 SEED = 42
 
@@ -183,8 +183,8 @@ def _near_duplicates(docs: DataFrame, shingle: int) -> DataFrame:
 KEY_SPAN, KEY_EVERY, KEY_LEAST = 3, 16, 6
 #: Texts under a key that are paired each with each; 28 pairs at most.
 ALL_PAIRS = 8
-#: Texts of a larger group that each of it is paired with at first.
-CENTERS = 4
+#: Texts of a larger group that each of it is paired with at first, and the size of the parts that it is cut into.
+CENTERS, PART = 4, 6
 _SIG = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
 
@@ -193,6 +193,10 @@ def _mix(x: np.ndarray, by: np.uint64) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def _sketch(raw: bytes, words: int) -> tuple[int, list[int], np.ndarray, np.ndarray]:
     """Hash of the words, a 256-bit SimHash of their shingles, sampled keys, and the distinct shingles as 32-bit hashes."""
     w = raw.lower().split()
@@ -211,31 +215,32 @@ def _sketch(raw: bytes, words: int) -> tuple[int, list[int], np.ndarray, np.ndar
     pick = np.flatnonzero((rank % np.uint64(KEY_EVERY) == 0) | (rank <= least))
     keys = np.unique(_mix(h[pick] + _SIG[0] * ahead[pick], _SIG[1])).view(np.int64)
     whole = xxhash.xxh64_intdigest(b" ".join(w), SEED)
-    return whole - (1 << 64) if whole >> 63 else whole, signature, keys, np.unique((distinct >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+    return _signed(whole), signature, keys, np.unique((distinct >> np.uint64(32)).astype(np.uint32)).view(np.int32)
 
 
 def similar_pairs(seen: DataFrame, nodes: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(a, b), and the crowd (node) whose pairs are not all among them. (a, b) are texts of ``seen`` (node, keys, shingles; a row for each copy) and ``nodes`` (node, s0 to s3) that share a sampled key and whose shingles' Jaccard similarity reaches ``similarity``.
 
     All texts under a key are paired where they are ``ALL_PAIRS`` or fewer. Where they are
-    more, each is paired at first with the CENTERS whose keys are shared most, mostly what copies
-    were made from and those most like it, and with two more in an order that differs from
-    key to key: that links most copies with few pairs, and the texts under such keys are the crowd that
-    ``pairs_of_crowd`` finishes. Pairs are cut by the distance of their 256-bit signatures, and the rest
-    verified by their shingles.
+    more, each is paired at first with CENTERS of them whose keys are shared most (the first of each class of a hash),
+    mostly what copies were made from and those most like it, and with two others of a part that
+    differs from key to key: that links most copies with few pairs, and the texts under such keys are the crowd that
+    ``pairs_of_crowd`` finishes. A large key is counted and its centers are found by combining sums, and its
+    rows are cut into parts of PART texts, so it is never in one task. Pairs are cut by the distance of their 256-bit
+    signatures, and the rest verified by their shingles.
     """
-    by_key = Window.partitionBy("key")
     rows = seen.select("node", F.explode("keys").alias("key")).groupBy("key", "node").agg(F.lit(1).alias("one")).drop("one")
-    shared = keep(rows.withColumn("n", F.count(F.lit(1)).over(by_key)).where("n > 1"), "simhash-keys")
-    shares = shared.groupBy("node").agg(F.sum("n").alias("share"))
-    among = shared.select("node", "key", "n").join(shares, "node")
-    whole = by_key.orderBy(F.desc("share"), "node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    centers = F.array(*[F.nth_value("node", i).over(whole) for i in range(1, CENTERS + 1)])
-    mixed = by_key.orderBy(F.xxhash64("node", "key"))
-    leads = [F.lead("node", i).over(mixed) for i in range(1, ALL_PAIRS)]
-    ahead = among.select("node", "n", centers.alias("centers"), F.array(*leads).alias("leads"))
-    ahead = ahead.select("node", F.when(F.col("n") <= ALL_PAIRS, F.col("leads")).otherwise(F.concat("centers", F.slice("leads", 1, 2))).alias("next"))
-    near = ahead.select("node", F.explode("next").alias("to")).where("`to` is not null and node <> `to`")
+    rows = keep(rows, "simhash-rows")
+    shared = keep(rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key"), "simhash-keys")
+    among = shared.join(shared.groupBy("node").agg(F.sum("n").alias("share")), "node")
+    large = F.col("n") > ALL_PAIRS
+    parts = F.when(large, F.ceil(F.col("n") / PART)).otherwise(F.lit(1))
+    among = among.withColumn("part", F.pmod(F.xxhash64("node", "key"), parts))
+    centers = among.where(large).groupBy("key", F.pmod(F.xxhash64("node"), F.lit(CENTERS)).alias("c")).agg(F.max_by("node", F.struct("share", "node")).alias("to")).select("key", "to")
+    mixed = Window.partitionBy("key", "part").orderBy(F.xxhash64("node", "key"), "node")
+    leads = F.array(*[F.lead("node", i).over(mixed) for i in range(1, ALL_PAIRS)])
+    ahead = among.select("node", "n", leads.alias("leads")).select("node", F.explode(F.when(large, F.slice("leads", 1, 2)).otherwise(F.col("leads"))).alias("to"))
+    near = ahead.unionAll(shared.where(large).join(centers, "key").select("node", "to")).where("`to` is not null and node <> `to`")
     pairs = near.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
     side = lambda n, *more: nodes.select(F.col("node").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in more])
     sig = ("s0", "s1", "s2", "s3")
@@ -295,25 +300,43 @@ def near_duplicates_by_similarity(docs: DataFrame, *, shingle: int = 3, words: i
     signatures. Texts of the same words are one node.
     """
     with scratch() as result:
-        return result(_by_similarity(docs, shingle, words, similarity), "near-duplicates")
+        seen, grouped = _by_similarity(docs, shingle, words, similarity)
+        comp = grouped.join(grouped.groupBy("root").agg(F.min("first").alias("first")).select("root", F.col("first.doc_id").alias("component_id")), "root").select("node", "component_id")
+        return result(seen.select("doc_id", "node").join(comp, "node").select("doc_id", "component_id"), "near-duplicates")
+
+
+def one_of_each(docs: DataFrame, *, shingle: int = 3, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and others) without all but one of each component of ``near_duplicates_by_similarity``.
+
+    That with the smallest doc_id stays, one without a doc_id only where none has any; of unlike texts under that doc_id the one
+    of the smallest hash stays, and of rows alike in both any one. All columns stay, whatever their names.
+    """
+    with scratch() as result:
+        _, grouped = _by_similarity(docs, shingle, words, similarity)
+        kept = result(grouped.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_hash"), "near-duplicates")
+    (key,) = fresh(docs, "_key")
+    of = lambda doc, text: F.concat_ws(":", F.hex(text), F.when(F.col(doc).isNull(), "").otherwise(F.concat(F.lit("="), F.col(doc).cast("string"))))
+    rows = docs.withColumn(key, of("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))))
+    return rows.join(kept.select(of("doc_id", "text_hash").alias(key)), key, "left_semi").dropDuplicates([key]).select(named(docs.columns))
 
 
-def _by_similarity(docs: DataFrame, shingle: int, words: int, similarity: float) -> DataFrame:
+def _by_similarity(docs: DataFrame, shingle: int, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and node, first (no doc_id, doc_id, hash of the text: of its first row) and root of all nodes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in (b.slice(i, 200) for i in range(0, b.num_rows, 200)):
-                cols: list[list] = [[] for _ in range(8)]
+                cols: list[list] = [[] for _ in range(9)]
                 for t in as_bytes(part.column("text")):
                     node, signature, keys, shingles = _sketch(t or b"", words)
-                    for col, x in zip(cols, (node, fingerprint(t or b"", shingle), *signature, keys, shingles)):
+                    for col, x in zip(cols, (node, fingerprint(t or b"", shingle), *signature, _signed(xxhash.xxh64_intdigest(t or b"", SEED)), keys, shingles)):
                         col.append(x)
-                arrays = [pa.array(c, pa.int64()) for c in cols[:6]] + [pa.array(cols[6], pa.list_(pa.int64())), pa.array(cols[7], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], names=["doc_id", "node", "fp", "s0", "s1", "s2", "s3", "keys", "shingles"])
+                arrays = [pa.array(c, pa.int64()) for c in cols[:7]] + [pa.array(cols[7], pa.list_(pa.int64())), pa.array(cols[8], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], names=["doc_id", "node", "fp", "s0", "s1", "s2", "s3", "text_hash", "keys", "shingles"])
 
-    seen = keep(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, fp long, s0 long, s1 long, s2 long, s3 long, keys array<long>, shingles array<int>"), "simhash-sketches")
-    least = keep(seen.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), *[F.first(s).alias(s) for s in ("s0", "s1", "s2", "s3")]), "simhash-nodes")
+    seen = keep(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, fp long, s0 long, s1 long, s2 long, s3 long, text_hash long, keys array<long>, shingles array<int>"), "simhash-sketches")
+    least = keep(seen.groupBy("node").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_hash")).alias("first"), F.min("fp").alias("fp"), *[F.first(s).alias(s) for s in ("s0", "s1", "s2", "s3")]), "simhash-nodes")
     one = least.groupBy("fp").agg(F.min("node").alias("node"))
     by_fp = links(one.select("fp"))
     rep = lambda n, to: one.select(F.col("fp").alias(n), F.col("node").alias(to))
@@ -322,7 +345,5 @@ def _by_similarity(docs: DataFrame, shingle: int, words: int, similarity: float)
     close, crowd = similar_pairs(seen, least, similarity)
     roots = connected(edges.unionAll(close))
     joined = connected(pairs_of_crowd(seen, crowd, roots, similarity)).select(F.col("node").alias("root"), F.col("root").alias("to"))
-    grouped = least.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    grouped = grouped.join(joined, "root", "left").select("node", "least", F.coalesce("to", "root").alias("root"))
-    comp = grouped.join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    return seen.select("doc_id", "node").join(comp, "node").select("doc_id", "component_id")
+    grouped = least.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    return seen, keep(grouped.join(joined, "root", "left").select("node", "first", F.coalesce("to", "root").alias("root")), "simhash-grouped")
