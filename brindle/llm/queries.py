@@ -19,9 +19,12 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model, counts = brown.fit(docs.where(~brown.held_out(F.col("doc_id"))))
-    return brown.score(docs, model, counts).select(
+    """All texts are written as numbers once; the model learns from those that are not held out."""
+    docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), brown.held_out(F.col("doc_id"))
+    words, counts = brown.vocabulary(docs.where(~held))
+    codes = brown.coded(docs, words)
+    model = brown.clustered(codes.where(~held), words)
+    return brown.score_coded(codes, model, counts).select(
         "doc_id", brown.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
 
