@@ -8,8 +8,9 @@ are never shuffled.
    position with the least hash of ``gram`` bytes in it; equal windows have anchors at
    equal places. All windows of one anchor together cover its context, some 130 bytes.
    Contexts are shuffled by the anchor's gram. Of equal ones all but the first are
-   repeated whole; those that a text has earlier itself are known before the shuffle. A
-   context whose gram stands in no other context is unique.
+   repeated whole; those that stand earlier in the same part of a shard are known before the
+   shuffle and go along under keys of their own, so a line that stands in every
+   document sends one row for each part. A context whose gram stands in no other context is unique.
 2. Families. What is left is cut into two halves of windows, each with a core of
    62 bytes that all its windows share, and shuffled by the core. Only the halves with
    equal cores can share windows: a family.
@@ -173,15 +174,33 @@ def _batch(columns: list[list[np.ndarray]], schema: pa.Schema) -> pa.RecordBatch
 FOUND = "row long, at long"  # row: shard << 32 | place in it; at: first window << 8 | windows after it
 
 
-def _window_runs(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The windows first to last, joined where they follow each other, as values of ``at``."""
+def _window_runs(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows, and the windows first to last joined where they follow each other in a row, as values of ``at``."""
     if not len(first):
-        return np.zeros(0, np.int64)
-    new = np.concatenate([[True], first[1:] > last[:-1] + 1])
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (first[1:] > last[:-1] + 1)])
     starts, stops = first[new], last[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(last) - 1]])]
     parts = (stops - starts) // 256 + 1
     begin = np.repeat(starts, parts) + 256 * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-    return begin << 8 | np.minimum(np.repeat(stops, parts) - begin, 255)
+    return np.repeat(row[new], parts), begin << 8 | np.minimum(np.repeat(stops, parts) - begin, 255)
+
+
+def _combined(gram: np.ndarray, context: np.ndarray, doc: np.ndarray, row: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[list[np.ndarray]]:
+    """The first of each context under its gram, and the others, which are repeated for certain, as runs under keys of their own."""
+    order = np.lexsort((first, row, doc, context, gram))
+    gram, context, doc, row, first, last = (x[order] for x in (gram, context, doc, row, first, last))
+    own = np.ones(len(order), bool)
+    own[1:] = (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])
+    again = np.flatnonzero(~own)
+    again = again[np.lexsort((first[again], row[again]))]
+    rows, runs = _window_runs(row[again], first[again], last[again])
+    spread = _mixed((runs + (rows << 20)).astype(np.uint64)).view(np.int64)
+    both = lambda x, y: [np.concatenate([x[own], y])]
+    return [both(gram, spread), both(context, spread), both(doc, np.zeros(len(rows), np.int64)), both(row, -rows - 1), both(first << 8 | (last - first), runs)]
+
+
+#: Contexts of a shard that are combined at once.
+PART = 400_000
 
 
 def _context_rows(shards: DataFrame, length: int, gram: int, parts: int) -> DataFrame:
@@ -190,31 +209,28 @@ def _context_rows(shards: DataFrame, length: int, gram: int, parts: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Contexts(length, gram)
+
+        def combined(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            whole = _batch(_combined(*(np.concatenate(x) for x in held)), schema)
+            yield from (whole.slice(i, 50_000) for i in range(0, whole.num_rows, 50_000))
+
         for b in batches:
             for path, shard in zip(b.column("path").to_pylist(), b.column("shard").to_pylist()):
-                out: list[list[np.ndarray]] = [[], [], [], [], []]
+                held: list[list[np.ndarray]] = [[], [], [], [], [], []]
                 size = 0
                 for i, (doc, text) in enumerate(_texts(path)):
                     if len(text) < length:
                         continue
                     grams, contexts, first, last = c.contexts(np.frombuffer(text, np.uint8))
-                    # contexts that the text itself has earlier are repeated for certain: they go along as runs, under keys of their own
-                    order = np.lexsort((first, contexts, grams))
-                    own = np.ones(len(order), bool)
-                    own[order[1:]] = (grams[order[1:]] != grams[order[:-1]]) | (contexts[order[1:]] != contexts[order[:-1]])
-                    runs = _window_runs(first[~own], last[~own])
-                    grams, contexts, at = grams[own], contexts[own], (first << 8 | (last - first))[own]
-                    n, m, row = len(at), len(runs), shard << 32 | i
-                    spread = _mixed((runs + row).astype(np.uint64)).view(np.int64)
-                    for column, x in zip(out, (np.concatenate([grams, spread]), np.concatenate([contexts, spread]), np.full(n + m, least if doc is None else doc), np.repeat([row, -row - 1], [n, m]), np.concatenate([at, runs]))):
+                    n = len(first)
+                    for column, x in zip(held, (grams, contexts, np.full(n, least if doc is None else doc), np.full(n, shard << 32 | i), first, last)):
                         column.append(x)
-                    n += m
                     size += n
-                    if size > 50_000:
-                        yield _batch(out, schema)
-                        out, size = [[], [], [], [], []], 0
+                    if size > PART:
+                        yield from combined(held)
+                        held, size = [[], [], [], [], [], []], 0
                 if size:
-                    yield _batch(out, schema)
+                    yield from combined(held)
 
     dealt = shards.repartition(parts)
     return dealt.mapInArrow(run, "gram long, context long, doc long, row long, at long")
@@ -229,8 +245,8 @@ def _sieve(contexts: DataFrame) -> DataFrame:
         held = None  # the last first row of a context: gram, row, at; and whether it is out
         for b in batches:
             g, x, row, at = (b.column(n).to_numpy() for n in ("gram", "context", "row", "at"))
-            within = row < 0  # repeated within a text
-            if within.any():
+            within = row < 0
+            if within.any():  # not the first in its part of a shard
                 yield _batch([[-row[within] - 1], [at[within]], [np.zeros(within.sum(), np.int32)]], schema)
                 g, x, row, at = (v[~within] for v in (g, x, row, at))
             if not len(g):
