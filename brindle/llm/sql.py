@@ -8,7 +8,7 @@ _HOST = """
   FROM (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)
 """
 
-_DOUBLE = "('co.uk', 'org.uk', 'ac.uk', 'gov.uk', 'com.au', 'co.jp', 'co.nz', 'com.br', 'co.in', 'co.za')"
+_DOUBLE = "regexp_matches(last2, '^(ac|co|com|edu|go|gob|gov|mil|ne|net|nom|or|org)\\.[a-z]{2}$')"
 
 
 def _rho(name: str) -> str:
@@ -22,8 +22,8 @@ WITH urls AS ({_HOST}),
 outcomes AS (SELECT doc_id AS page_id, count(*) AS n, sum(quality) AS k FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1),
 hosts0 AS (SELECT host, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(k), 0)::DOUBLE AS k FROM urls LEFT JOIN outcomes USING (page_id) GROUP BY host),
 hosts1 AS (SELECT *, string_split(host, '.') AS parts, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS last2 FROM hosts0),
-hosts AS (SELECT host, n, k, CASE WHEN last2 IN {_DOUBLE} THEN array_to_string(list_slice(parts, -3, -1), '.') ELSE last2 END AS domain,
-                 CASE WHEN last2 IN {_DOUBLE} THEN last2 ELSE parts[-1] END AS suffix FROM hosts1),
+hosts AS (SELECT host, n, k, CASE WHEN {_DOUBLE} THEN array_to_string(list_slice(parts, -3, -1), '.') ELSE last2 END AS domain,
+                 CASE WHEN {_DOUBLE} THEN last2 ELSE parts[-1] END AS suffix FROM hosts1),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY 1, 2),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY 1),
 total AS (SELECT CASE WHEN sum(n) > 0 THEN (sum(k) + 0.5) / (sum(n) + 1) ELSE 0.5 END AS share FROM suffixes),
@@ -31,7 +31,12 @@ ss AS {_rho("suffixes")}, sd AS {_rho("domains")}, sh AS {_rho("hosts")},
 s2 AS (SELECT suffix, (k + share * s) / (n + s) AS m FROM suffixes, total, ss),
 d2 AS (SELECT domain, suffix, (domains.k + s2.m * s) / (domains.n + s) AS m FROM domains JOIN s2 USING (suffix), sd),
 h2 AS (SELECT host, hosts.n AS n, (hosts.k + d2.m * s) / (hosts.n + s) AS m, s FROM hosts JOIN d2 USING (domain, suffix), sh),
-known AS (SELECT host, m AS mean, m - 1.645 * sqrt(m * (1 - m) / (n + s + 1)) AS bound FROM h2),
+ab AS (SELECT host, m, m * (n + s) AS a, (1 - m) * (n + s) AS b FROM h2),
+grid AS (SELECT *, ln(a / b) AS mid, sqrt(1 / a + 1 / (a * a) + 1 / b + 1 / (b * b)) AS wide, unnest(range(0, 401)) AS i FROM ab),
+odds AS (SELECT *, mid + wide * (0.04 * (i - 200)) AS u FROM grid),
+weights AS (SELECT host, m, mid, wide, i, exp(a * u - (a + b) * (greatest(u, 0) + ln(1 + exp(-abs(u)))) - a * mid + (a + b) * (greatest(mid, 0) + ln(1 + exp(-abs(mid))))) AS w FROM odds),
+sums AS (SELECT *, sum(w) OVER (PARTITION BY host ORDER BY i) AS c, 0.05 * sum(w) OVER (PARTITION BY host) AS need FROM weights),
+known AS (SELECT host, m AS mean, 1 / (1 + exp(-(mid + wide * (0.04 * (i + (need - c + w) / w - 200.5))))) AS bound FROM sums QUALIFY c >= need AND c - w < need),
 ruled AS (
   SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
                  WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
