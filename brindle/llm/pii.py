@@ -1,19 +1,21 @@
 """Personal data: base patterns, and contextual extraction bootstrapped from them.
 
 The base patterns find e-mail addresses, IP addresses, card and telephone numbers.
-They are the seeds: the words before and after them make lexical patterns (kind,
-word before, word after, or the word before and the form of the token). Every token
+They are the seeds, and so are secrets: long tokens that mix letters and digits, which are spans
+only where a pattern extracts them. The signs and words around seeds make lexical patterns (the last one,
+two or three before; the one before and the one after; the one before and the form of the token). Every token
 with a digit or an at sign is an instance that patterns may extract. Over the graph of
 patterns and instances Spark iterates: a pattern's confidence is the mean confidence of
 the distinct instances that it extracts, an instance's the best of its patterns; seeds
-stay at 1, and instances that the base patterns judged to be something else at 0. What
-confident patterns extract beyond the seeds is added under the pattern's kind.
+stay at 1, and instances that are seeds of something else at 0. What
+confident patterns extract beyond the base spans is added under the pattern's kind.
 
 The graph is held as counts by pattern and by token, never by occurrence, and
 both are found by aggregation and equi-joins; nothing of it comes to the driver.
 
 Defined results: null and empty texts have no spans. A span added never overlaps a base
-span. Repeated rows are searched each. Offsets are code points, ends exclusive.
+span. Repeated rows are searched each. Offsets are code points, ends exclusive. An instance
+has five characters or more. A word of a context that reaches past ``REACH`` characters counts as one sign, whatever it is.
 """
 
 from __future__ import annotations
@@ -26,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, scratch
+from .common import fresh, keep, named, scratch
 
 # fixed values: the kinds in order, and the base patterns
 KINDS = ("email", "ip", "card", "phone")
+SECRET = "secret"
 EMAIL_TAIL = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 EMAIL_HEAD = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
@@ -82,7 +85,8 @@ def base_spans(text: str) -> list[Span]:
 
 
 def written(spans: list[Span]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
+    """By kind as listed, then by start; secrets last."""
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: ((*KINDS, SECRET).index(s[0]), s[1], s[2])))
 
 
 def form(token: str) -> str:
@@ -90,13 +94,33 @@ def form(token: str) -> str:
     return re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "9", token)))
 
 
+def is_secret(token: str) -> bool:
+    """A seed of a secret: 24 letters, digits, dashes or low lines, or more, with four letters and four digits at least."""
+    if len(token) < 24 or not _SECRET.fullmatch(token):
+        return False
+    digits = sum(c in "0123456789" for c in token)
+    return digits >= 4 and sum(c.isalpha() for c in token) >= 4
+
+
+#: Characters before or after a token that its context is taken from.
+REACH = 48
+_SECRET, _SIGNS = re.compile(r"[A-Za-z0-9_-]+"), re.compile(r"\w+|[^\w\s]")
+
+
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns of a span: words before and after; the two words before; the word before and the token's form."""
-    before = text[max(0, start - 48) : start].lower().split()[-2:]
-    after = text[end : end + 24].lower().split()[:1]
-    one = before[-1] if before else "^"
-    two = before[-2] if len(before) > 1 else "^"
-    return [f"w {one} _ {after[0] if after else '$'}", f"l {two} {one}", f"f {one} {form(text[start:end])[:24]}"]
+    """Lexical patterns of a span: the sign before and after; the last one with the token's form; the last two, and three, before."""
+    at = max(0, start - REACH)
+    before = _SIGNS.findall(text[at:start].lower())
+    if before and at and _in_word(text[at]) and _in_word(text[at - 1]):
+        before[0] = "\u2026"  # the rest of a long word
+    after = _SIGNS.search(text, end, min(len(text), end + REACH))
+    then = "$" if after is None else "\u2026" if after.end() == end + REACH and after.end() < len(text) and _in_word(text[after.end()]) else after[0].lower()
+    one, two, three = (["^", "^", "^", *before])[:-4:-1]
+    return [f"w {one} _ {then}", f"f {one} {form(text[start:end])[:24]}", f"l {two} {one}", f"t {three} {two} {one}"]
+
+
+def _in_word(c: str) -> bool:
+    return c.isalnum() or c == "_"
 
 
 def instances(text: str, spans: list[Span]) -> list[tuple[int, int]]:
@@ -127,7 +151,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = base_spans(t) if t else []
             found = [*spans, *((None, x, y) for x, y in (instances(t, spans) if t else ()))]
             spans_out.append([{"kind": k, "start": x, "stop": y} for k, x, y in spans])
-            found_out.append([{"token": t[x:y].lower(), "start": x, "stop": y, "kind": k, "patterns": contexts(t, x, y)} for k, x, y in found])
+            found_out.append([{"token": t[x:y].lower(), "start": x, "stop": y, "kind": k or (SECRET if is_secret(t[x:y]) else None), "patterns": contexts(t, x, y)} for k, x, y in found])
         span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())])
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(spans_out, pa.list_(span)), pa.array(found_out, pa.list_(inst))], names=["doc_id", "base", "found"])
 
@@ -142,7 +166,7 @@ def confident(found: DataFrame, *, rounds: int, least: float, support: int) -> D
     useful = edges.groupBy("pattern").agg(F.count("kind").alias("seeds"), F.countDistinct("token").alias("tokens")).where(f"seeds > 0 and tokens >= {support}").select("pattern")
     edges = keep(edges.join(useful, "pattern").select("pattern", "token", "kind"), "pii-edges")
     kinds = edges.where("kind is not null").select("kind", "pattern").distinct()
-    tokens = edges.groupBy("token").agg(F.collect_set("kind").alias("is"))  # four kinds at most
+    tokens = edges.groupBy("token").agg(F.collect_set("kind").alias("is"))  # five kinds at most
     graph = edges.select("pattern", "token").distinct().join(kinds, "pattern").join(tokens, "token")
     graph = keep(graph.select("pattern", "kind", "token", F.when(F.array_contains("is", F.col("kind")), 1.0).when(F.size("is") > 0, 0.0).alias("fixed")), "pii-graph")
     score = graph.select("kind", "token", F.coalesce("fixed", F.lit(0.0)).alias("s")).distinct()
@@ -170,27 +194,27 @@ def _learned(docs: DataFrame, rounds: int, least: float, support: int) -> tuple[
 def spans(docs: DataFrame, *, rounds: int = 3, least: float = 0.8, support: int = 4) -> DataFrame:
     """``doc_id``, ``base`` and ``more`` (arrays of kind, start, stop) for each row of ``docs`` (doc_id, text), and row, its number."""
     seen, found, good = _learned(docs, rounds, least, support)
-    new = found.where("kind is null").select("row", "start", "stop", F.explode(F.array_distinct("patterns")).alias("pattern")).join(good, "pattern")
+    new = found.where(f"kind is null or kind = '{SECRET}'").select("row", "start", "stop", F.explode(F.array_distinct("patterns")).alias("pattern")).join(good, "pattern")
     more = new.groupBy("row", "start", "stop").agg(F.min("kind").alias("kind")).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "stop"))).alias("more"))
     return seen.select("row", "doc_id", "base").join(more, "row", "left").withColumn("more", F.coalesce("more", F.array().cast(_SPANS)))
 
 
 def found_table(docs: DataFrame, **how) -> DataFrame:
-    """The digest of each row: numbers of base spans by kind, base_sha256, and all spans."""
+    """The digest of each row: numbers of base spans by kind, base_sha256, all spans, and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(7)]
             for base, more in zip(b.column("base").to_pylist(), b.column("more").to_pylist()):
                 base, more = ([(s["kind"], s["start"], s["stop"]) for s in x] for x in (base, more))
-                values = (*(sum(k == x for x, _, _ in base) for k in KINDS), hashlib.sha256(written(base).encode()).hexdigest(), written(base + more))
+                values = (*(sum(k == x for x, _, _ in base) for k in KINDS), hashlib.sha256(written(base).encode()).hexdigest(), written(base + more), len(base) + len(more))
                 for col, v in zip(cols, values):
                     col.append(v)
-            types = (*[pa.int64()] * 4, pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+            types = (*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return spans(docs, **how).select("doc_id", "base", "more").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return spans(docs, **how).select("doc_id", "base", "more").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def redact(docs: DataFrame, *, rounds: int = 3, least: float = 0.8, support: int = 4, sent_patterns: int = 100_000) -> DataFrame:
@@ -202,7 +226,7 @@ def redact(docs: DataFrame, *, rounds: int = 3, least: float = 0.8, support: int
     names, schema = docs.columns, docs.schema
 
     def texts_in(b: pa.RecordBatch, texts: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else b.column(n) for n in names], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else c for n, c in zip(names, b.columns)], names=names)
 
     with scratch():
         _, _, good = _learned(docs, rounds, least, support)
@@ -229,17 +253,18 @@ def redact(docs: DataFrame, *, rounds: int = 3, least: float = 0.8, support: int
 
         return docs.mapInArrow(run, schema)
 
-    held = keep(docs.withColumn("_row", F.monotonically_increasing_id()), "pii-docs")
-    both = spans(held.select(F.col("_row").alias("doc_id"), "text"), rounds=rounds, least=least, support=support)
-    found = both.select(F.col("doc_id").alias("_row"), F.concat("base", "more").alias("_spans")).where("size(_spans) > 0")
+    row, at = fresh(docs, "_row", "_spans")
+    held = keep(docs.withColumn(row, F.monotonically_increasing_id()), "pii-docs")
+    both = spans(held.select(F.col(row).alias("doc_id"), "text"), rounds=rounds, least=least, support=support)
+    found = both.select(F.col("doc_id").alias(row), F.concat("base", "more").alias(at)).where(F.size(at) > 0)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
-                rows = zip(part.column("text").to_pylist(), part.column("_spans").to_pylist())
+                rows = zip(part.column("text").to_pylist(), part.column(at).to_pylist())
                 yield texts_in(part, [replaced(t, [(s["kind"], s["start"], s["stop"]) for s in f]) if f else t for t, f in rows])
 
-    return held.join(found, "_row", "left").select(*[F.col(f"`{n}`") for n in names], "_spans").mapInArrow(joined, schema)
+    return held.join(found, row, "left").select(*named(names), at).mapInArrow(joined, schema)
 
 
 def replaced(text: str, found: list[Span]) -> str:

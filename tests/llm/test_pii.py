@@ -89,3 +89,23 @@ def test_redaction(make_docs):
 
 def test_empty(make_docs):
     assert pii.found_table(make_docs(["a"]).limit(0)).collect() == []
+
+
+def test_secrets_are_found_by_their_contexts(make_docs):
+    """Long mixed tokens after 'token = "' are seeds; shorter ones there are found, and the same kind of token elsewhere is left alone."""
+    import random
+
+    rng = random.Random(3)
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 4)) + "a1b2"
+    texts = [f'some words {rng.random()} token = "{key(40)}" and more' for _ in range(30)] + ['then TOKEN = "ab12cd34"!! end'] + [f"commit {key(40)}x of page {i}" for i in range(3)]
+    rows = {r.doc_id: r for r in pii.found_table(make_docs(texts)).collect()}
+    for i in range(31):
+        (span,) = [s.split(":") for s in rows[i].spans.split(",") if s.startswith("secret")]
+        assert texts[i][int(span[1]) - 1] == '"' and texts[i][int(span[2])] == '"' and rows[i].n_spans == 1 + rows[i].n_card
+    assert all("secret" not in rows[i].spans for i in range(31, 34))
+
+
+def test_contexts_of_long_words():
+    text = "x" * 60 + " token 12345 " + "y" * 60
+    assert pii.contexts(text, 67, 72) == ["w token _ \u2026", "f token 9", "l \u2026 token", "t ^ \u2026 token"]
+    assert pii.contexts("12345", 0, 5) == ["w ^ _ $", "f ^ 9", "l ^ ^", "t ^ ^ ^"]
