@@ -36,7 +36,7 @@ grid AS (SELECT *, ln(a / b) AS mid, sqrt(1 / a + 1 / (a * a) + 1 / b + 1 / (b *
 odds AS (SELECT *, mid + wide * (0.04 * (i - 200)) AS u FROM grid),
 weights AS (SELECT host, m, mid, wide, i, exp(a * u - (a + b) * (greatest(u, 0) + ln(1 + exp(-abs(u)))) - a * mid + (a + b) * (greatest(mid, 0) + ln(1 + exp(-abs(mid))))) AS w FROM odds),
 sums AS (SELECT *, sum(w) OVER (PARTITION BY host ORDER BY i) AS c, 0.05 * sum(w) OVER (PARTITION BY host) AS need FROM weights),
-known AS (SELECT host, m AS mean, 1 / (1 + exp(-(mid + wide * (0.04 * (i + (need - c + w) / w - 200.5))))) AS bound FROM sums QUALIFY c >= need AND c - w < need),
+known AS (SELECT host, m AS mean, 1 / (1 + exp(-(mid + wide * (0.04 * (i + (need - c + w) / w - 200.5))))) AS bound FROM sums WHERE c >= need AND c - w < need),
 ruled AS (
   SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
                  WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
