@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Lineage cut by a checkpoint in the shared folder that the cluster names; where none is named, in one of our own, as in tests."""
+    """Lineage cut by a checkpoint in the shared folder that the cluster names; where none is named and all tasks run in this process, as in tests, in one of our own."""
     spark, sc = df.sparkSession, df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brindle-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="brindle-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -113,31 +118,47 @@ def page_rank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> Data
     rank = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for _ in range(rounds):
         given = rank.join(e, F.col("node") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("d")).alias("got"))
+        given = _cut(given)
         idle = 1 - (given.agg(F.sum("got")).first()[0] or 0.0)
         rank = _cut(nodes.join(given, F.col("node") == F.col("dst"), "left").select("node", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + idle / n)).alias("rank")))
     return rank
 
 
 def minimum_spanning_tree(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """Edges of a minimum spanning forest by Boruvka's rounds: each component takes its lightest edge out; ties by ends."""
-    e = _cut(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.col("weight").cast("double").alias("weight")).where("src <> dst").groupBy("src", "dst").agg(F.min("weight").alias("weight")))
-    label = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("c", F.col("node"))
-    tree = e.limit(0)
+    """Edges of a minimum spanning forest by Boruvka's rounds: each component takes its lightest edge out; ties by ends.
+
+    After each round the edges are relabelled by component and only the lightest between two components stays, so the graph shrinks.
+    """
+    e = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.col("weight").cast("double").alias("weight")).where("a <> b")
+    light = lambda df: _cut(df.groupBy("a", "b").agg(F.min(F.struct("weight", "src", "dst")).alias("m")).select("a", "b", "m.*"))
+    e = light(e.withColumns({"src": F.col("a"), "dst": F.col("b")}))
+    tree = e.limit(0).select("src", "dst", "weight")
     for _ in range(rounds):
-        a, b = label.select(F.col("node").alias("src"), F.col("c").alias("a")), label.select(F.col("node").alias("dst"), F.col("c").alias("b"))
-        cross = e.join(a, "src").join(b, "dst").where("a <> b").select("src", "dst", "weight", "a", "b")
-        both = cross.select(F.col("a").alias("c"), "weight", "src", "dst").unionAll(cross.select(F.col("b").alias("c"), "weight", "src", "dst"))
-        picked = _cut(both.groupBy("c").agg(F.min(F.struct("weight", "src", "dst")).alias("m")).select("m.*").distinct())
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight", "src", "dst"))
+        picked = _cut(both.groupBy("a").agg(F.min(F.struct("weight", "src", "dst", "b")).alias("m")).select("a", "m.b", "m.weight", "m.src", "m.dst"))
         if picked.limit(1).count() == 0:
             return tree
-        tree = _cut(tree.unionByName(picked))
-        comp = components(tree.select("src", "dst"))
-        label = _cut(label.select("node").join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("c")))
+        tree = _cut(tree.unionByName(picked.select("src", "dst", "weight").distinct()))
+        comp = components(picked.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        of = lambda n, c: comp.select(F.col("node").alias(n), F.col("component").alias(c))
+        moved = e.join(of("a", "x"), "a").join(of("b", "y"), "b").where("x <> y")
+        e = light(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "weight", "src", "dst"))
     raise RuntimeError("more rounds than asked for")
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    """a < b < c of every triangle: paths over the edges in order, closed by a join."""
+    """a < b < c of every triangle.
+
+    Edges lead from the node of the smaller degree to the other, so that no node leads to more than some root of
+    the number of edges, and a hub makes no pairs of its neighbours; pairs led to from one node are closed by a join.
+    """
     e = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
-    path = e.join(e.select(F.col("a").alias("b"), F.col("b").alias("c")), "b")
-    return path.join(e.select("a", F.col("b").alias("c")), ["a", "c"]).select("a", "b", "c")
+    degree = e.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("d"))
+    of = lambda n: degree.select(F.col("node").alias(n), F.struct("d", "node").alias(f"r{n}"))
+    ranked = e.join(of("a"), "a").join(of("b"), "b")
+    low, high = F.least("ra", "rb"), F.greatest("ra", "rb")
+    led = _cut(ranked.select(low["node"].alias("u"), high["node"].alias("v"), high["d"].alias("d")))
+    pairs = led.join(led.select("u", F.col("v").alias("w"), F.col("d").alias("dw")), "u").where("struct(d, v) < struct(dw, w)").select("u", "v", "w")
+    closed = pairs.join(led.select(F.col("u").alias("v"), F.col("v").alias("w")), ["v", "w"])
+    nodes = F.array_sort(F.array("u", "v", "w"))
+    return closed.select(nodes[0].alias("a"), nodes[1].alias("b"), nodes[2].alias("c"))

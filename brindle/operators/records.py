@@ -6,6 +6,9 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
+
+from .windows import fold
 
 
 def clock_merge(a: Column, b: Column) -> Column:
@@ -77,32 +80,23 @@ def quota_use(df: DataFrame, key: str, ts: str, amount: str, period_seconds: int
     The charge is a fold over the rows of one key and period in order.
     """
     period = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (period_seconds * 1_000_000))
-    item = F.struct(F.col(ts), *[F.col(c) for c in tie], F.col(amount).cast("double").alias("_amount"))
-    rows = df.groupBy(key, period.alias("_period")).agg(F.array_sort(F.collect_list(item)).alias("_rows"))
-    fields = [ts, *tie]
-    start = F.struct(F.lit(0.0).alias("used"), F.transform(F.slice("_rows", 1, 0), lambda r: F.struct(*[r[f].alias(f) for f in fields], F.lit(True).alias("granted"))).alias("out"))
 
-    def step(acc, r):
-        ok = acc["used"] + r["_amount"] <= most
-        return F.struct(F.when(ok, acc["used"] + r["_amount"]).otherwise(acc["used"]).alias("used"), F.concat(acc["out"], F.array(F.struct(*[r[f].alias(f) for f in fields], ok.alias("granted")))).alias("out"))
+    def step(used, x: float):
+        used = used or 0.0
+        return (used + x, (True,)) if used + x <= most else (used, (False,))
 
-    return rows.select(key, F.explode(F.aggregate("_rows", start, step)["out"]).alias("r")).select(key, "r.*")
+    return fold(df.withColumn("_period", period), [key, "_period"], [ts, *tie], [amount], None, step, ["granted"], BooleanType()).drop("_period")
 
 
 def state_machine(df: DataFrame, by: str, event: str, start: str, transitions: Mapping[tuple[str, str], str], *ord: str) -> DataFrame:
     """Each row with state, its key's state after it; events that the state does not know change nothing."""
-    from .windows import fold
-
-    table = F.create_map(*[F.lit(x) for (state, e), to in transitions.items() for x in (f"{state}\0{e}", to)])
-    codes = sorted({e for _, e in transitions})
-    names = F.array(*[F.lit(c) for c in codes])
-    coded = df.withColumn("_e", F.array_position(names, F.col(event)).cast("double"))
 
-    def step(s, r):
-        name = F.when(r["_e"] > 0, F.get(names, r["_e"].cast("int") - 1))
-        return F.coalesce(F.try_element_at(table, F.concat(s, F.lit("\0"), name)), s)
+    def step(state: str, e: str):
+        state = transitions.get((state, e), state)
+        return state, (state,)
 
-    return fold(coded, [by], list(ord), ["_e"], F.lit(start), step, lambda s: F.struct(s.alias("state")))
+    coded = df.withColumn("_e", F.coalesce(F.col(event).cast("string"), F.lit("")))
+    return fold(coded, [by], list(ord), ["_e"], start, step, ["state"], StringType(), None)
 
 
 def life_step(cells: DataFrame) -> DataFrame:

@@ -136,7 +136,7 @@ def convex_hull(df: DataFrame, x: str, y: str) -> DataFrame:
         yield pd.DataFrame(kept, columns=["x", "y"])
 
     part = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna().mapInPandas(run, "x double, y double")
-    return part.coalesce(1).mapInPandas(run, "x double, y double")
+    return part.repartition(1).mapInPandas(run, "x double, y double")
 
 
 def polygon_area(corners: Column) -> Column:

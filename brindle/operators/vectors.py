@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import maths
 
@@ -51,18 +52,21 @@ def search_many(queries: DataFrame, df: DataFrame, id: str, vector: str, k: int,
                 x = np.array(b.column(vector).to_pylist(), dtype=np.float64)
                 x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
                 ids = np.array(b.column(id).to_pylist(), dtype=object)
-                s = q @ x.T
-                if best is not None:
-                    s = np.concatenate([best[0], s], axis=1)
-                    who = np.concatenate([best[1], np.broadcast_to(ids, (len(q), len(ids)))], axis=1)
-                else:
-                    who = np.broadcast_to(ids, (len(q), len(ids)))
+                order = np.argsort(ids, kind="stable")  # so that of equal scores the smaller ids are kept
+                s = (q @ x.T)[:, order]
                 at = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                best = [np.take_along_axis(s, at, 1), np.take_along_axis(who, at, 1)]
+                s, who = np.take_along_axis(s, at, 1), ids[order][at]
+                if best is not None:
+                    s, who = np.concatenate([best[0], s], axis=1), np.concatenate([best[1], who], axis=1)
+                    rank = np.unique(who, return_inverse=True)[1].reshape(who.shape)
+                    at = np.lexsort((rank, -s), axis=1)[:, :k]
+                    s, who = np.take_along_axis(s, at, 1), np.take_along_axis(who, at, 1)
+                best = [s, who]
             if best is not None:
                 m = best[0].shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, m)), pa.array(best[1].ravel().tolist()), pa.array(best[0].ravel())], names=["query", "id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([n for n in names for _ in range(m)], arrow), pa.array(best[1].ravel().tolist(), arrow), pa.array(best[0].ravel())], names=["query", "id", "score"])
 
+        arrow = to_arrow_type(df.schema[id].dataType)
         kind = df.schema[id].dataType.simpleString()
         found = df.select(id, vector).mapInArrow(run, f"query {kind}, id {kind}, score double")
         w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
@@ -152,7 +156,7 @@ def naive_bayes_predict(docs: DataFrame, id: str, text: str, counts: DataFrame,
     rows = docs.select(F.col(id).alias("id"), words.alias("w"))
     tf = rows.select("id", F.explode("w").alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("tf"))
     gain = tf.join(counts, "word").groupBy("id", "label").agg(F.sum(F.col("tf") * F.log((F.col("n") + alpha) / F.lit(alpha))).alias("gain"))
-    base = rows.select("id", F.size("w").alias("len")).crossJoin(F.broadcast(prior))  # a row for each label
+    base = rows.select("id", F.size("w").alias("len")).crossJoin(prior)  # a row for each label
     score = base.join(gain, ["id", "label"], "left").select("id", "label", (F.col("prior") + F.coalesce("gain", F.lit(0.0)) + F.col("len") * (F.log(F.lit(alpha)) - F.log("norm"))).alias("score"))
     return score.groupBy("id").agg(F.max_by("label", F.struct("score", "label")).alias("label"), F.max("score").alias("score")).withColumnRenamed("id", id)
 

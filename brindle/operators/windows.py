@@ -1,17 +1,19 @@
 """Series by key: moving frames, recursive folds, resampling, bands.
 
 Every operator takes ``by`` columns: a window without them would put all rows in one
-task. The recursive folds (EMA, RSI, Kalman) work on each key's values as an array in
-order, so a key's series must fit in a row; cumulative values of one long series are in
-``cumulative``, which works in ranges.
+task. The recursive folds (EMA, RSI, Kalman) stream each key's rows in order through one
+task and hold no series; cumulative values of one long series are in ``cumulative``, which works in ranges.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, DoubleType, StructField, StructType
 
 
 def _frame(by: Sequence[str], ord: Sequence[str], period: int):
@@ -54,75 +56,90 @@ def bollinger(df: DataFrame, value: str, period: int, by: Sequence[str], ord: Se
     return out.withColumns({"upper": F.col("middle") + width * F.col("_sd"), "lower": F.col("middle") - width * F.col("_sd")}).drop("_sd", "_n")
 
 
-def fold(df: DataFrame, by: Sequence[str], ord: Sequence[str], values: Sequence[str], start: Column, step, finish) -> DataFrame:
-    """A recursive fold over each key's rows in order: one row for each input row, with its ``ord`` columns and ``finish``'s fields.
+def fold(df: DataFrame, by: Sequence[str], ord: Sequence[str], values: Sequence[str], start, step, fields: Sequence[str], kind: DataType = DoubleType(), cast: str | None = "double") -> DataFrame:
+    """A recursive fold over each key's rows in order: one row for each input row, with its ``by`` and ``ord`` columns and ``fields``.
 
-    step(state, row) gives the next state; finish(state) a struct that is kept for each row.
+    step(state, *values) gives the next state and the fields' values, all of one ``kind``; values are cast to ``cast``. A row with a null among its values has null fields and
+    leaves the state as it is. The rows of a task stream through it sorted by key and order, so no key's series is ever held.
     """
-    item = F.struct(*[F.col(o) for o in ord], *[F.col(v).cast("double").alias(v) for v in values])
-    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("_rows"))
-    states = F.aggregate(
-        "_rows",
-        F.struct(start.alias("s"), F.transform(F.slice("_rows", 1, 0), lambda r: F.struct(*[r[o].alias(o) for o in ord], finish(start).alias("_out"))).alias("out")),
-        lambda acc, r: F.struct(step(acc["s"], r).alias("s"), F.concat(acc["out"], F.array(F.struct(*[r[o].alias(o) for o in ord], finish(step(acc["s"], r)).alias("_out")))).alias("out")),
-    )
-    return rows.select(*by, F.explode(states["out"]).alias("_r")).select(*by, *[F.col(f"_r.{o}").alias(o) for o in ord], "_r._out.*")
-
-
-def _ema(acc: Column, x: Column, alpha: float) -> Column:
-    return F.when(acc.isNull(), x).otherwise(alpha * x + (1 - alpha) * acc)
+    kept = [*by, *ord]
+    rows = df.select(*kept, *[(F.col(v).cast(cast) if cast else F.col(v)).alias(f"_{i}") for i, v in enumerate(values)])
+    schema = StructType([*[rows.schema[c] for c in kept], *[StructField(f, kind) for f in fields]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, nothing = None, start, (None,) * len(fields)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            out = []
+            keys = zip(*(b.column(i).to_pylist() for i in range(len(by)))) if by else ((),) * b.num_rows
+            for k, x in zip(keys, zip(*(c.to_pylist() for c in b.columns[len(kept) :]))):
+                if k != key:
+                    key, state = k, start
+                if None in x:
+                    out.append(nothing)
+                else:
+                    state, row = step(state, *x)
+                    out.append(row)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *[pa.array(c, arrow) for c in zip(*out)]], names=[*kept, *fields])
+
+    arrow = to_arrow_type(kind)
+    dealt = rows.repartition(*by) if by else rows.repartition(1)
+    return dealt.sortWithinPartitions(*by, *ord).mapInArrow(run, schema)
 
 
 def ema(df: DataFrame, value: str, alpha: float, by: Sequence[str], ord: Sequence[str], name: str = "ema") -> DataFrame:
     """Exponential mean with weight ``alpha``, seeded by the first value. For a period p, alpha = 2 / (p + 1)."""
-    none = F.lit(None).cast("double")
-    return fold(df, by, ord, [value], none, lambda s, r: _ema(s, r[value], alpha), lambda s: F.struct(s.alias(name)))
+
+    def step(mean: float | None, x: float):
+        mean = x if mean is None else alpha * x + (1 - alpha) * mean
+        return mean, (mean,)
+
+    return fold(df, by, ord, [value], None, step, [name])
 
 
 def macd(df: DataFrame, value: str, by: Sequence[str], ord: Sequence[str], fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """macd (fast less slow EMA), signal (its EMA) and histogram, in one fold."""
-    none = F.lit(None).cast("double")
     a, b, c = (2 / (p + 1) for p in (fast, slow, signal))
-    start = F.struct(none.alias("fast"), none.alias("slow"), none.alias("signal"))
 
-    def step(s: Column, r: Column) -> Column:
-        f, g = _ema(s["fast"], r[value], a), _ema(s["slow"], r[value], b)
-        return F.struct(f.alias("fast"), g.alias("slow"), _ema(s["signal"], f - g, c).alias("signal"))
+    def step(state, x: float):
+        if state is None:
+            f, g, s = x, x, 0.0
+        else:
+            f, g = a * x + (1 - a) * state[0], b * x + (1 - b) * state[1]
+            s = c * (f - g) + (1 - c) * state[2]
+        return (f, g, s), (f - g, s, f - g - s)
 
-    return fold(df, by, ord, [value], start, step, lambda s: F.struct((s["fast"] - s["slow"]).alias("macd"), s["signal"].alias("signal"), (s["fast"] - s["slow"] - s["signal"]).alias("histogram")))
+    return fold(df, by, ord, [value], None, step, ["macd", "signal", "histogram"])
 
 
 def rsi(df: DataFrame, value: str, by: Sequence[str], ord: Sequence[str], period: int = 14) -> DataFrame:
     """Wilder's index: the first mean gain and loss are plain over ``period`` changes, later ones smoothed; 100 without losses. Rows from the period on."""
-    none, zero = F.lit(None).cast("double"), F.lit(0.0)
-    start = F.struct(none.alias("last"), F.lit(-1).alias("n"), zero.alias("gain"), zero.alias("loss"))
-
-    def step(s: Column, r: Column) -> Column:
-        change = r[value] - s["last"]
-        up = F.when(s["last"].isNull(), 0.0).otherwise(F.greatest(change, zero))
-        down = F.when(s["last"].isNull(), 0.0).otherwise(F.greatest(-change, zero))
-        n = s["n"] + 1
-        mix = lambda old, new: F.when(n <= period, old + new / period).otherwise((old * (period - 1) + new) / period)
-        return F.struct(r[value].alias("last"), n.alias("n"), mix(s["gain"], up).alias("gain"), mix(s["loss"], down).alias("loss"))
 
-    def finish(s: Column) -> Column:
-        index = F.when(s["loss"] == 0, 100.0).otherwise(100 - 100 / (1 + s["gain"] / F.nullif(s["loss"], zero)))
-        return F.struct(F.when(s["n"] >= period, index).alias("rsi"))
+    def step(state, x: float):
+        if state is None:
+            return (x, 0, 0.0, 0.0), (None,)
+        last, n, gain, loss = state
+        n, up, down = n + 1, max(x - last, 0.0), max(last - x, 0.0)
+        mix = lambda old, new: old + new / period if n <= period else (old * (period - 1) + new) / period
+        gain, loss = mix(gain, up), mix(loss, down)
+        index = None if n < period else 100.0 if loss == 0 else 100 - 100 / (1 + gain / loss)
+        return (x, n, gain, loss), (index,)
 
-    return fold(df, by, ord, [value], start, step, finish).where("rsi is not null")
+    return fold(df, by, ord, [value], None, step, ["rsi"]).where("rsi is not null")
 
 
 def kalman(df: DataFrame, value: str, by: Sequence[str], ord: Sequence[str], process: float = 1.0, noise: float = 1.0) -> DataFrame:
     """One-dimensional estimate of each row, started at the first value with variance 1."""
-    none = F.lit(None).cast("double")
-    start = F.struct(none.alias("x"), F.lit(1.0).alias("p"))
 
-    def step(s: Column, r: Column) -> Column:
-        x, p = F.coalesce(s["x"], r[value]), s["p"] + process
+    def step(state, x: float):
+        estimate, p = (x, 1.0) if state is None else state
+        p += process
         gain = p / (p + noise)
-        return F.struct((x + gain * (r[value] - x)).alias("x"), ((1 - gain) * p).alias("p"))
+        estimate += gain * (x - estimate)
+        return (estimate, (1 - gain) * p), (estimate,)
 
-    return fold(df, by, ord, [value], start, step, lambda s: F.struct(s["x"].alias("estimate")))
+    return fold(df, by, ord, [value], None, step, ["estimate"])
 
 
 def cumulative(df: DataFrame, value: str, ord: str, name: str = "running") -> DataFrame:

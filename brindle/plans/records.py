@@ -66,14 +66,8 @@ def state_machine(t):
     return records.state_machine(t.events, "user_id", "event_type", "new", _STEPS, "ts", "event_id").select("event_id", "state")
 
 
-@query("WITH c AS (SELECT DISTINCT p_size % 20 AS x, p_partkey % 20 AS y FROM part WHERE p_partkey % 7 = 0), n AS (SELECT x + i AS x, y + j AS y, sum(CASE WHEN i = 0 AND j = 0 THEN 0 ELSE 1 END) AS n, max(CASE WHEN i = 0 AND j = 0 THEN 1 ELSE 0 END) AS alive FROM c, (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j) GROUP BY 1, 2) SELECT x::BIGINT AS x, y::BIGINT AS y FROM n WHERE n = 3 OR (n = 2 AND alive = 1)")
-def grid_life(t):
-    cells = t.part.where("p_partkey % 7 = 0").select((F.col("p_size") % 20).cast("long").alias("x"), (F.col("p_partkey") % 20).alias("y")).distinct()
-    return records.life_step(cells)
-
-
 @query("WITH c AS (SELECT DISTINCT p_size AS x, p_partkey AS y FROM part), n AS (SELECT x + i AS x, y + j AS y, sum(CASE WHEN i = 0 AND j = 0 THEN 0 ELSE 1 END) AS n, max(CASE WHEN i = 0 AND j = 0 THEN 1 ELSE 0 END) AS alive FROM c, (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j) GROUP BY 1, 2) SELECT x::BIGINT AS x, y::BIGINT AS y FROM n WHERE n = 3 OR (n = 2 AND alive = 1)")
-def grid_life_all(t):
+def grid_life(t):
     return records.life_step(t.part.select(F.col("p_size").cast("long").alias("x"), F.col("p_partkey").cast("long").alias("y")).distinct())
 
 

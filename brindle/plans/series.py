@@ -45,45 +45,27 @@ def series_bollinger(t):
     return b.select("event_id", *[F.round(c, 4).alias(c) for c in ("middle", "upper", "lower")])
 
 
-_FEW = "(SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE user_id <= 20)"
+_ORDERED = "(SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"
 
 
-@query(f"WITH RECURSIVE e AS (SELECT * FROM {_FEW}), f AS (SELECT user_id, event_id, i, value AS ema FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_id, e.i, 0.25 * e.value + 0.75 * f.ema FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1) SELECT event_id, round(ema, 4) AS ema FROM f")
+@query(f"WITH RECURSIVE e AS (SELECT * FROM {_ORDERED}), f AS (SELECT user_id, event_id, i, value AS ema FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_id, e.i, 0.25 * e.value + 0.75 * f.ema FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1) SELECT event_id, round(ema + 0.0000001, 4) AS ema FROM f")
 def series_ema(t):
-    return windows.ema(t.events.where("user_id <= 20"), "value", 0.25, _BY, _ORD).select("event_id", F.round("ema", 4).alias("ema"))
+    return windows.ema(t.events, "value", 0.25, _BY, _ORD).select("event_id", F.round(F.col("ema") + 0.0000001, 4).alias("ema"))
 
 
-@query(f"WITH RECURSIVE e AS (SELECT * FROM {_FEW}), f AS (SELECT user_id, event_id, i, value AS a, value AS b, 0.0::DOUBLE AS s FROM e WHERE i = 1 UNION ALL SELECT user_id, event_id, i, a, b, 0.2 * (a - b) + 0.8 * s FROM (SELECT e.user_id, e.event_id, e.i, f.a * (1 - 2.0 / 13) + e.value * 2.0 / 13 AS a, f.b * (1 - 2.0 / 27) + e.value * 2.0 / 27 AS b, f.s AS s FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)) SELECT event_id, round(a - b, 4) AS macd, round(s, 4) AS signal, round(a - b - s, 4) AS histogram FROM f")
+@query(f"WITH RECURSIVE e AS (SELECT * FROM {_ORDERED}), f AS (SELECT user_id, event_id, i, value AS a, value AS b, 0.0::DOUBLE AS s FROM e WHERE i = 1 UNION ALL SELECT user_id, event_id, i, a, b, 0.2 * (a - b) + 0.8 * s FROM (SELECT e.user_id, e.event_id, e.i, f.a * (1 - 2.0 / 13) + e.value * 2.0 / 13 AS a, f.b * (1 - 2.0 / 27) + e.value * 2.0 / 27 AS b, f.s AS s FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)) SELECT event_id, round(a - b, 4) AS macd, round(s, 4) AS signal, round(a - b - s, 4) AS histogram FROM f")
 def series_macd(t):
-    return windows.macd(t.events.where("user_id <= 20"), "value", _BY, _ORD).select("event_id", *[F.round(c, 4).alias(c) for c in ("macd", "signal", "histogram")])
+    return windows.macd(t.events, "value", _BY, _ORD).select("event_id", *[F.round(c, 4).alias(c) for c in ("macd", "signal", "histogram")])
 
 
-@query()
+@query(f"WITH RECURSIVE e AS (SELECT * FROM {_ORDERED}), f AS (SELECT user_id, event_id, i, value AS last, 0 AS n, 0.0::DOUBLE AS g, 0.0::DOUBLE AS l FROM e WHERE i = 1 UNION ALL SELECT user_id, event_id, i, value, n, CASE WHEN n <= 14 THEN g + greatest(d, 0) / 14 ELSE (g * 13 + greatest(d, 0)) / 14 END, CASE WHEN n <= 14 THEN l + greatest(-d, 0) / 14 ELSE (l * 13 + greatest(-d, 0)) / 14 END FROM (SELECT e.user_id, e.event_id, e.i, e.value, f.n + 1 AS n, f.g, f.l, e.value - f.last AS d FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)) SELECT event_id, round(CASE WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END, 4) AS rsi FROM f WHERE n >= 14")
 def series_rsi(t):
     return windows.rsi(t.events, "value", _BY, _ORD).select("event_id", F.round("rsi", 4).alias("rsi"))
 
 
-@query(f"WITH RECURSIVE e AS (SELECT * FROM {_FEW}), f AS (SELECT user_id, event_id, i, value AS x, 2.0 / 3.0 AS p FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_id, e.i, f.x + (f.p + 1) / (f.p + 2) * (e.value - f.x), (1 - (f.p + 1) / (f.p + 2)) * (f.p + 1) FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1) SELECT event_id, round(x, 4) AS estimate FROM f")
+@query(f"WITH RECURSIVE e AS (SELECT * FROM {_ORDERED}), f AS (SELECT user_id, event_id, i, value AS x, 2.0 / 3.0 AS p FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_id, e.i, f.x + (f.p + 1) / (f.p + 2) * (e.value - f.x), (1 - (f.p + 1) / (f.p + 2)) * (f.p + 1) FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1) SELECT event_id, round(x + 0.0000001, 4) AS estimate FROM f")
 def series_kalman(t):
-    return windows.kalman(t.events.where("user_id <= 20"), "value", _BY, _ORD).select("event_id", F.round("estimate", 4).alias("estimate"))
-
-
-# series_ema, series_macd and series_kalman are held to recursive statements over twenty users; these run over all events
-
-
-@query()
-def series_ema_all(t):
-    return windows.ema(t.events, "value", 0.25, _BY, _ORD).select("event_id", F.round("ema", 4).alias("ema"))
-
-
-@query()
-def series_macd_all(t):
-    return windows.macd(t.events, "value", _BY, _ORD).select("event_id", *[F.round(c, 4).alias(c) for c in ("macd", "signal", "histogram")])
-
-
-@query()
-def series_kalman_all(t):
-    return windows.kalman(t.events, "value", _BY, _ORD).select("event_id", F.round("estimate", 4).alias("estimate"))
+    return windows.kalman(t.events, "value", _BY, _ORD).select("event_id", F.round(F.col("estimate") + 0.0000001, 4).alias("estimate"))
 
 
 @query("SELECT user_id, min(value) AS min, max(value) AS max, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std, count(value) AS count FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-17' GROUP BY 1")
@@ -142,17 +124,21 @@ def _limited(t, make):
     return limiters.limit(rows, "ts", "user_id", make, "event_id").select("event_id", "admitted")
 
 
-@query()
+_TIMES = "WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"
+_NEXT = "FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1"
+
+
+@query(f"{_TIMES}, f AS (SELECT user_id, event_id, i, s, 2.0::DOUBLE AS t, true AS admitted FROM e WHERE i = 1 UNION ALL SELECT user_id, event_id, i, s, CASE WHEN t >= 1 THEN t - 1 ELSE t END, t >= 1 FROM (SELECT e.user_id, e.event_id, e.i, e.s, least(3, f.t + (e.s - f.s) * (1 / 3600.0::DOUBLE)) AS t {_NEXT})) SELECT event_id, admitted FROM f")
 def limit_token_bucket(t):
     return _limited(t, lambda: limiters.TokenBucket(3, 1 / 3600))
 
 
-@query()
+@query(f"{_TIMES}, f AS (SELECT user_id, event_id, i, s AS since, 2 AS t, true AS admitted FROM e WHERE i = 1 UNION ALL SELECT user_id, event_id, i, since + n * 3600, CASE WHEN least(3, t + n) >= 1 THEN least(3, t + n) - 1 ELSE 0 END, least(3, t + n) >= 1 FROM (SELECT e.user_id, e.event_id, e.i, f.since, f.t, floor((e.s - f.since) / 3600)::INTEGER AS n {_NEXT})) SELECT event_id, admitted FROM f")
 def limit_discrete_bucket(t):
     return _limited(t, lambda: limiters.DiscreteBucket(3, 1, 3600))
 
 
-@query()
+@query(f"{_TIMES}, f AS (SELECT user_id, event_id, i, [s] AS log, true AS admitted FROM e WHERE i = 1 UNION ALL SELECT user_id, event_id, i, CASE WHEN len(kept) < 2 THEN list_append(kept, s) ELSE kept END, len(kept) < 2 FROM (SELECT e.user_id, e.event_id, e.i, e.s, list_filter(f.log, lambda x: x > e.s - 7200) AS kept {_NEXT})) SELECT event_id, admitted FROM f")
 def limit_sliding_log(t):
     return _limited(t, lambda: limiters.SlidingLog(2, 7200))
 
@@ -162,7 +148,7 @@ def limit_fixed_window(t):
     return _limited(t, lambda: limiters.FixedWindow(2, 7200))
 
 
-@query()
+@query(f"{_TIMES}, f AS (SELECT user_id, event_id, i, s, 1.0::DOUBLE AS level, true AS admitted FROM e WHERE i = 1 UNION ALL SELECT user_id, event_id, i, s, CASE WHEN level < 3 THEN level + 1 ELSE level END, level < 3 FROM (SELECT e.user_id, e.event_id, e.i, e.s, greatest(0, f.level - (e.s - f.s) * (1 / 3600.0::DOUBLE)) AS level {_NEXT})) SELECT event_id, admitted FROM f")
 def limit_leaky_bucket(t):
     return _limited(t, lambda: limiters.LeakyBucket(3, 1 / 3600))
 

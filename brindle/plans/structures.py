@@ -11,26 +11,26 @@ from .base import Tables, query
 
 
 def _edges(t: Tables):
-    """Suppliers and parts' brands that share line items of little quantity: a sparse graph of numbers."""
-    return t.lineitem.where("l_quantity <= 2").select((F.col("l_suppkey") % 97).alias("src"), (F.col("l_partkey") % 97 + 97).alias("dst"), F.col("l_quantity").alias("weight")).where("src % 3 = 0 and dst % 5 = 0")
-
-
-_E = "(SELECT l_suppkey % 97 AS src, l_partkey % 97 + 97 AS dst, l_quantity AS weight FROM lineitem WHERE l_quantity <= 2 AND l_suppkey % 97 % 3 = 0 AND (l_partkey % 97 + 97) % 5 = 0)"
-_U = f"(SELECT src, dst FROM {_E} UNION SELECT dst, src FROM {_E})"
+    """Suppliers and parts, as numbers of one range, of all line items."""
+    return t.lineitem.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_quantity").alias("weight"))
 
 
-@query(f"SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM {_E} UNION ALL SELECT dst, 0, 1 FROM {_E}) GROUP BY 1")
+@query("SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT l_suppkey AS node, 1 AS o, 0 AS i FROM lineitem UNION ALL SELECT l_partkey, 0, 1 FROM lineitem) GROUP BY 1")
 def graph_degrees(t):
     return graph.degrees(_edges(t))
 
 
-@query(f"WITH RECURSIVE r AS (SELECT src AS node, src AS root FROM {_U} UNION SELECT u.dst, r.root FROM r JOIN {_U} u ON u.src = r.node) SELECT node, min(root) AS component FROM r GROUP BY 1")
+@query()
 def graph_components(t):
     return graph.components(_edges(t).select("src", "dst"))
 
 
-@query(f"WITH RECURSIVE r AS (SELECT (SELECT min(src) FROM {_U}) AS node, 0 AS level UNION SELECT u.dst, level + 1 FROM r JOIN {_U} u ON u.src = r.node WHERE level < 12) SELECT node, CAST(min(level) AS INTEGER) AS level FROM r GROUP BY 1")
+_U = "(SELECT l_suppkey AS src, l_partkey AS dst FROM lineitem UNION SELECT l_partkey, l_suppkey FROM lineitem)"
+
+
+@query(f"WITH RECURSIVE u AS MATERIALIZED (SELECT * FROM {_U}), r AS (SELECT (SELECT min(src) FROM u) AS node, 0 AS level UNION SELECT u.dst, level + 1 FROM r JOIN u ON u.src = r.node WHERE level < 8) SELECT node, CAST(min(level) AS INTEGER) AS level FROM r GROUP BY 1")
 def graph_bfs(t):
+    """Few levels: each node is some line items away from any other."""
     e = graph.undirected(_edges(t))
     return graph.bfs(e, e.agg(F.min("src")).first()[0])
 
@@ -48,9 +48,9 @@ def graph_topological_layers(t):
     return graph.topological_layers(e)
 
 
-@query(f"WITH e AS (SELECT DISTINCT least(src, dst) % 60 AS a, greatest(src, dst) % 60 AS b FROM {_E}), f AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM e WHERE a <> b) SELECT x.a, x.b, y.b AS c FROM f x JOIN f y ON x.b = y.a JOIN f z ON z.a = x.a AND z.b = y.b")
+@query("WITH f AS (SELECT DISTINCT least(l_suppkey, l_partkey) AS a, greatest(l_suppkey, l_partkey) AS b FROM lineitem WHERE l_suppkey <> l_partkey) SELECT x.a, x.b, y.b AS c FROM f x JOIN f y ON x.b = y.a JOIN f z ON z.a = x.a AND z.b = y.b")
 def graph_triangles(t):
-    return graph.triangles(_edges(t).select((F.col("src") % 60).alias("src"), (F.col("dst") % 60).alias("dst")))
+    return graph.triangles(_edges(t).select("src", "dst"))
 
 
 @query()
@@ -58,45 +58,17 @@ def graph_spanning_tree(t):
     return graph.minimum_spanning_tree(_edges(t)).agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
-@query()
-def graph_page_rank(t):
-    return graph.page_rank(_edges(t), 5).select("node", F.round("rank", 8).alias("rank"))
-
-
-def _all_edges(t: Tables):
-    """Suppliers and parts, as numbers of one range, of all line items."""
-    return t.lineitem.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_quantity").alias("weight"))
-
-
-@query("SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT l_suppkey AS node, 1 AS o, 0 AS i FROM lineitem UNION ALL SELECT l_partkey, 0, 1 FROM lineitem) GROUP BY 1")
-def graph_degrees_all(t):
-    return graph.degrees(_all_edges(t))
-
-
-@query()
-def graph_components_all(t):
-    return graph.components(_all_edges(t).select("src", "dst"))
-
-
-@query()
-def graph_bfs_all(t):
-    e = graph.undirected(_all_edges(t))
-    return graph.bfs(e, e.agg(F.min("src")).first()[0])
-
-
-@query("WITH f AS (SELECT DISTINCT least(l_suppkey, l_partkey) AS a, greatest(l_suppkey, l_partkey) AS b FROM lineitem WHERE l_suppkey <> l_partkey) SELECT x.a, x.b, y.b AS c FROM f x JOIN f y ON x.b = y.a JOIN f z ON z.a = x.a AND z.b = y.b")
-def graph_triangles_all(t):
-    return graph.triangles(_all_edges(t).select("src", "dst"))
-
-
-@query()
-def graph_spanning_tree_all(t):
-    return graph.minimum_spanning_tree(_all_edges(t)).agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("weight"), 4).alias("weight"))
+def _rank_sql(rounds: int) -> str:
+    """Fixed rounds, one statement for each."""
+    out = "WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), c AS (SELECT count(*)::DOUBLE AS n FROM n), o AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS d FROM e), r0 AS (SELECT node, 1 / c.n AS rank FROM n, c)"
+    for i in range(rounds):
+        out += f", g{i} AS (SELECT dst, sum(rank / d) AS got FROM r{i} JOIN o ON src = node GROUP BY dst), r{i + 1} AS (SELECT node, 0.15 / c.n + 0.85 * (coalesce(got, 0) + (1 - (SELECT sum(got) FROM g{i})) / c.n) AS rank FROM n LEFT JOIN g{i} ON dst = node, c)"
+    return out + f" SELECT node, round(rank, 8) AS rank FROM r{rounds}"
 
 
-@query()
-def graph_page_rank_all(t):
-    return graph.page_rank(_all_edges(t), 5).select("node", F.round("rank", 8).alias("rank"))
+@query(_rank_sql(5))
+def graph_page_rank(t):
+    return graph.page_rank(_edges(t), 5).select("node", F.round("rank", 8).alias("rank"))
 
 
 @query("SELECT id, root, CAST(depth AS INTEGER) AS depth FROM (SELECT 'r' || r_regionkey AS id, 'r' || r_regionkey AS root, 0 AS depth FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 1 FROM nation UNION ALL SELECT 's' || s_suppkey, 'r' || n_regionkey, 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey)")
@@ -137,20 +109,11 @@ def geo_nearest(t):
     return spatial.nearest(_geo(t), "lon", "lat", 10, 10, 10, "c_custkey").select("c_custkey", F.round("distance", 6).alias("distance"))
 
 
-_BOX = "(SELECT p_partkey AS id, p_size * 1.0 AS x0, p_retailprice / 50 AS y0, p_size + 0.5 AS x1, p_retailprice / 50 + 0.5 AS y1 FROM part WHERE p_partkey % 4 = 0)"
+_BOX = "(SELECT p_partkey AS id, p_size * 1.0 AS x0, p_retailprice / 50 AS y0, p_size + 0.5 AS x1, p_retailprice / 50 + 0.5 AS y1 FROM part)"
 
 
 @query(f"SELECT a.id AS a_id, b.id AS b_id FROM {_BOX} a JOIN {_BOX} b ON a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 WHERE a.id < b.id")
 def geo_box_join(t):
-    box = t.part.where("p_partkey % 4 = 0").selectExpr("p_partkey as id", "p_size * 1.0D as x0", "p_retailprice / 50 as y0", "p_size + 0.5D as x1", "p_retailprice / 50 + 0.5D as y1")
-    return spatial.box_join(box, box, 2.0).where("a_id < b_id")
-
-
-_ALL_BOX = "(SELECT p_partkey AS id, p_size * 1.0 AS x0, p_retailprice / 50 AS y0, p_size + 0.5 AS x1, p_retailprice / 50 + 0.5 AS y1 FROM part)"
-
-
-@query(f"SELECT a.id AS a_id, b.id AS b_id FROM {_ALL_BOX} a JOIN {_ALL_BOX} b ON a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 WHERE a.id < b.id")
-def geo_box_join_all(t):
     box = t.part.selectExpr("p_partkey as id", "p_size * 1.0D as x0", "p_retailprice / 50 as y0", "p_size + 0.5D as x1", "p_retailprice / 50 + 0.5D as y1")
     return spatial.box_join(box, box, 2.0).where("a_id < b_id")
 

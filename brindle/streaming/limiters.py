@@ -10,6 +10,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
@@ -97,16 +98,21 @@ class LeakyBucket:
 
 
 def limit(df: DataFrame, ts: str, by: str, make, *tie: str) -> DataFrame:
-    """``df`` with admitted, by one limiter for each key; ``make()`` gives a new one."""
-    order = [ts, *tie]
+    """``df`` with admitted, by one limiter for each key; ``make()`` gives a new one. A key's rows stream through its task in order; none are held."""
+    names = df.columns
+    schema = StructType([*df.schema.fields, StructField("admitted", BooleanType())])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        state = make()
-        seconds = rows[ts].astype("datetime64[us]").astype("int64") / 1e6
-        return rows.assign(admitted=[state.admit(t) for t in seconds])
-
-    return df.groupBy(by).applyInPandas(run, StructType([*df.schema.fields, StructField("admitted", BooleanType())]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for b in batches:
+            found = []
+            for k, t in zip(b.column(names.index(by)).to_pylist(), b.column(names.index(ts)).cast(pa.int64()).to_pylist()):
+                if state is None or k != key:
+                    key, state = k, make()
+                found.append(state.admit(t / 1e6))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.bool_())], names=[*names, "admitted"])
+
+    return df.repartition(by).sortWithinPartitions(by, ts, *tie).mapInArrow(run, schema)
 
 
 def limit_stream(df: DataFrame, ts: str, by: str, capacity: float, rate: float, late: str = "10 minutes") -> DataFrame:

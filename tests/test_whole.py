@@ -15,7 +15,7 @@ def test_postings_of_all_documents(spark, tmp_path):
     words = [w for w in ("alpha", "beta", "gamma", "delta") if w not in STOP_WORDS]
     texts = {i: " ".join(rng.choice(words) for _ in range(5)) for i in range(250)}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(r.term, r.doc_id): r.tf for r in registry.QUERIES["search_postings_all"](spark, str(tmp_path)).collect()}
+    got = {(r.term, r.doc_id): r.tf for r in registry.QUERIES["search_postings"](spark, str(tmp_path)).collect()}
     assert got == Counter((w, i) for i, t in texts.items() for w in t.split())
 
 
@@ -40,7 +40,7 @@ def test_folds_of_all_users(spark, tmp_path):
     rows = [(u * 100 + i, u, start + timedelta(hours=i), v) for u, vs in series.items() for i, v in enumerate(vs)]
     spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, value double").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
     want = {u * 100 + i: f for u, vs in series.items() for i, f in enumerate(folds(vs))}
-    ema, macd, kalman = ({r.event_id: r for r in registry.QUERIES[n](spark, str(tmp_path)).collect()} for n in ("series_ema_all", "series_macd_all", "series_kalman_all"))
+    ema, macd, kalman = ({r.event_id: r for r in registry.QUERIES[n](spark, str(tmp_path)).collect()} for n in ("series_ema", "series_macd", "series_kalman"))
     assert set(ema) == set(macd) == set(kalman) == set(want)
     for i, (e, m, s, k) in want.items():
         assert (ema[i].ema, macd[i].macd, macd[i].signal, kalman[i].estimate) == pytest.approx((e, m, s, k), abs=2e-4)
@@ -56,26 +56,26 @@ def test_graphs_of_all_line_items(spark, tmp_path):
     for _ in root:
         for a, b, _ in edges:
             root[a] = root[b] = min(root[a], root[b])
-    assert {r.node: r.component for r in run("graph_components_all")} == root
+    assert {r.node: r.component for r in run("graph_components")} == root
     level = {min(root): 0}
     for _ in root:
         for a, b, _ in edges:
             for x, y in ((a, b), (b, a)):
                 if x in level:
                     level[y] = min(level.get(y, 99), level[x] + 1)
-    assert {r.node: r.level for r in run("graph_bfs_all")} == level
+    assert {r.node: r.level for r in run("graph_bfs")} == level
     tree, kept = {x: x for x in root}, []
     for a, b, w in sorted(edges, key=lambda e: e[2]):
         if tree[a] != tree[b]:
             old, new = tree[a], tree[b]
             tree = {x: new if t == old else t for x, t in tree.items()}
             kept.append(w)
-    assert [tuple(r) for r in run("graph_spanning_tree_all")] == [(len(kept), sum(kept))]
-    assert {r.node for r in run("graph_page_rank_all")} == set(root)
+    assert [tuple(r) for r in run("graph_spanning_tree")] == [(len(kept), sum(kept))]
+    assert {r.node for r in run("graph_page_rank")} == set(root)
 
 
 def test_outer_joins_keep_every_order_and_customer(spark, tmp_path):
     spark.createDataFrame([(i, i % 9) for i in range(40)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame([(i, f"c{i}") for i in range(11)], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
-    rows = registry.QUERIES["join_full_all"](spark, str(tmp_path)).collect()
+    rows = registry.QUERIES["join_full"](spark, str(tmp_path)).collect()
     assert {r.o_orderkey for r in rows} == {*range(40), None} and {r.c_custkey for r in rows} == {*range(0, 22, 2), None}
