@@ -14,7 +14,7 @@ and the documents have N x (mean distinct terms) terms to give, so it has at mos
 ``max_lexicon`` and the band narrowed from below until it holds, so what is sent to
 the tasks is bounded.
 
-Defined results: null is an empty text. Texts without lexicon terms get a hash of
+Defined results: doc_id is a whole number, as the next document goes by it; others raise. A null text is an empty text. Texts without lexicon terms get a hash of
 the whole text in place of the subsets, so equal texts have equal fingerprints, and
 texts of that kind are alike only if equal. The next document goes by descending
 doc_id, ties by a hash of the text; after the last comes the first; a single document is its own

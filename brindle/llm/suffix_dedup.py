@@ -28,7 +28,7 @@ some 30 ns a byte, and texts need ``length`` passes).
 Hashes decide steps 1 and 3 only beside other equal bits: contexts are equal by two
 64-bit hashes, of gram and of context; handed-on windows by two of the window.
 
-Defined results: a null text is empty. Of rows that repeat a doc_id the earlier one is
+Defined results: doc_id is a whole number, since texts are ordered by it; others raise. A null text is empty. Of rows that repeat a doc_id the earlier one is
 that of the smaller shard and position. A null doc_id is earlier than any other. Texts
 under ``length`` bytes lose nothing. Empty tables give no rows.
 """

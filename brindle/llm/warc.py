@@ -11,7 +11,7 @@ Archives are written by the tasks through an Arrow file system to the shared fol
 each attempt under a name of its own; the list of archives comes from the tasks that
 succeeded, so leftovers of lost tasks are never read.
 
-Defined results: a null html is an empty payload. Among equal payloads the largest
+Defined results: page_id is a whole number; others raise. A null html is an empty payload. Among equal payloads the largest
 page_id is the response; of rows that repeat that page_id, those of the largest url
 are. A row with a null page_id revisits any other of its payload. Empty tables give no
 records.
@@ -100,17 +100,18 @@ class Source:
     """A file that is read forward in blocks from an offset."""
 
     def __init__(self, file, at: int, size: int):
-        self.file, self.at, self.size, self.data = file, at, size, b""
+        self.file, self.at, self.size, self.data = file, at, size, bytearray()
 
     def more(self) -> bool:
         """Another block behind the data held; false at the end of the file."""
         start = self.at + len(self.data)
         got = self.file.read_at(min(BLOCK, self.size - start), start) if start < self.size else b""
-        self.data += bytes(got)
+        self.data += got
         return bool(got)
 
     def skip(self, n: int) -> None:
-        self.data, self.at = self.data[n:], self.at + n
+        del self.data[:n]
+        self.at += n
 
 
 def _headers(raw: bytes) -> dict[str, str]:
@@ -127,7 +128,7 @@ def decoded(src: Source) -> tuple[dict[str, str], bytes] | None:
         while at >= len(src.data):
             if not src.more():
                 return None
-        piece = src.data[at : at + step]
+        piece = bytes(src.data[at : at + step])
         try:
             out += z.decompress(piece)
         except zlib.error:
