@@ -116,17 +116,17 @@ def cluster_dbscan(t):
     return vectors.dbscan(points, "p_partkey", "v", 0.3, 5)
 
 
-@query("""WITH r AS (SELECT doc_id, lang, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM documents WHERE doc_id % 2 = 0),
+@query("""WITH r AS (SELECT doc_id, lang, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM documents),
 c AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(w) AS word FROM r) GROUP BY 1, 2), p AS (SELECT lang, count(*) AS docs, sum(len(w)) AS words FROM r GROUP BY 1),
-v AS (SELECT count(DISTINCT word) AS v FROM c), s AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM documents WHERE doc_id % 2 = 1),
+v AS (SELECT count(DISTINCT word) AS v FROM c), s AS (SELECT doc_id, w FROM r),
 f AS (SELECT doc_id, word, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS word FROM s) GROUP BY 1, 2),
 g AS (SELECT doc_id, lang, sum(tf * ln(n + 1.0)) AS gain FROM f JOIN c USING (word) GROUP BY 1, 2),
 z AS (SELECT s.doc_id, p.lang, ln(docs / (SELECT sum(docs) FROM p)) + coalesce(gain, 0) - len(s.w) * ln(words + v) AS score FROM s CROSS JOIN p CROSS JOIN v LEFT JOIN g ON g.doc_id = s.doc_id AND g.lang = p.lang)
 SELECT doc_id, arg_max(lang, (score, lang)) AS label FROM z GROUP BY 1""")
 def learn_naive_bayes(t):
-    """Languages of odd documents, learnt from even ones."""
-    counts, priors = vectors.naive_bayes_train(t.documents.where("doc_id % 2 = 0"), "text", "lang")
-    return vectors.naive_bayes_predict(t.documents.where("doc_id % 2 = 1"), "doc_id", "text", counts, priors).select("doc_id", "label")
+    """Languages of all documents, learnt from all."""
+    counts, priors = vectors.naive_bayes_train(t.documents, "text", "lang")
+    return vectors.naive_bayes_predict(t.documents, "doc_id", "text", counts, priors).select("doc_id", "label")
 
 
 _H = "(SELECT log2(sum(n)) - sum(n * log2(n)) / sum(n) AS h, any_value(k) AS k, sum(n) AS n FROM (SELECT {k} AS k, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY k)"
