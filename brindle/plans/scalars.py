@@ -15,7 +15,7 @@ def str_basic(t: Tables):
     return t.part.select("p_partkey", strings.capitalize(n).alias("capital"), strings.truncate(n, 12).alias("short"), strings.pad_start(F.col("p_partkey").cast("string"), 6, "0").alias("padded"), F.reverse(n).alias("backwards"), strings.count_occurrences(n, "a").alias("letters"), F.replace(n, F.lit(" "), F.lit("-")).alias("kebab"))
 
 
-@query()
+@query("SELECT c_custkey, lower(c_name[1]) || regexp_replace(c_name[2:], '[^A-Za-z0-9]+', '', 'g') AS camel, upper(c_name[1]) || regexp_replace(c_name[2:], '[^A-Za-z0-9]+', '', 'g') AS pascal, regexp_replace(lower(c_name), '[^a-z0-9]+', '_', 'g') AS snake, regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g') AS kebab, upper(c_name[1]) || lower(c_name[2:]) AS title, regexp_replace(lower(c_name), '[^a-z0-9]+', '', 'g') AS slug FROM customer")
 def str_cases(t):
     n = F.col("c_name")
     return t.customer.select("c_custkey", strings.camel_case(n).alias("camel"), strings.pascal_case(n).alias("pascal"), strings.snake_case(n).alias("snake"), strings.kebab_case(n).alias("kebab"), strings.title_case(n).alias("title"), strings.slugify(n).alias("slug"))
@@ -242,7 +242,7 @@ def arr_algebra(t):
     return t.nation.select("n_nationkey", F.to_json(arrays.intersection(a, b)).alias("inter"), F.to_json(arrays.difference(a, b)).alias("diff"), F.to_json(arrays.rotate(a, 1)).alias("rotated"))
 
 
-@query()
+@query("""SELECT n AS n_nationkey, (CASE WHEN n = 7 THEN '[{"value":7,"count":3},' ELSE '[{"value":' || n || ',"count":2},{"value":7,"count":1},' END) || '{"value":' || r || ',"count":1}]' AS runs, to_json([n, n, 7, r])::VARCHAR AS back, to_json([n, 0, 7 - n, r - 7])::VARCHAR AS deltas, to_json([n, n, 7, r])::VARCHAR AS same, to_json([[n, n, 7], [r]])::VARCHAR AS chunks FROM (SELECT n_nationkey AS n, n_regionkey AS r FROM nation)""")
 def arr_codecs(t):
     a = F.array(F.col("n_nationkey"), F.col("n_nationkey"), F.lit(7), F.col("n_regionkey"))
     return t.nation.select("n_nationkey", F.to_json(arrays.run_lengths(a)).alias("runs"), F.to_json(arrays.run_lengths_expand(arrays.run_lengths(a))).alias("back"), F.to_json(arrays.delta_encode(a)).alias("deltas"), F.to_json(arrays.delta_decode(arrays.delta_encode(a))).alias("same"), F.to_json(arrays.chunk(a, 3)).alias("chunks"))
