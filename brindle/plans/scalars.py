@@ -203,7 +203,20 @@ def enc_digests(t):
     return t.part.select("p_partkey", encoding.md5(c).alias("md5"), encoding.sha1(c).alias("sha1"), encoding.sha256(c).alias("sha256"), encoding.to_hex(c).alias("hex"), encoding.to_base64(c).alias("b64"))
 
 
-@query()
+def _crc_sql(first: str, enter: str, bit: str) -> str:
+    """A cyclic check of the bytes b: ``enter`` takes byte x into h, ``bit`` is one of its eight steps on a."""
+    return f"list_reduce(b, lambda h, x: list_reduce(range(8), lambda a, k: {bit}, {enter}), {first}::BIGINT)"
+
+
+_HASHES = f"""SELECT p_partkey, list_reduce(b, lambda h, x: (h * 33 + x) % 4294967296, 5381::BIGINT) AS h0, list_reduce(b, lambda h, x: (h * 65599 + x) % 4294967296, 0::BIGINT) AS h1,
+list_reduce(b, lambda h, x: xor(h, x) * 16777619 % 4294967296, 2166136261::BIGINT) AS h2, ((n + later) % 65521 * 65536 + (1 + total) % 65521)::BIGINT AS h3, (later % 255 * 256 + total % 255)::INTEGER AS h4,
+({_crc_sql("0", "xor(h, x)", "xor(a * 2 % 256, CASE WHEN a >= 128 THEN 7::BIGINT ELSE 0::BIGINT END)")})::INTEGER AS h5,
+({_crc_sql("65535", "xor(h, x * 256)", "xor(a * 2 % 65536, CASE WHEN a >= 32768 THEN 4129::BIGINT ELSE 0::BIGINT END)")})::INTEGER AS h6,
+xor({_crc_sql("4294967295", "xor(h, x)", "xor(a // 2, CASE WHEN a % 2 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)")}, 4294967295::BIGINT) AS crc32
+FROM (SELECT p_partkey, b, len(b) AS n, list_sum(b)::BIGINT AS total, list_sum(list_transform(b, lambda x, i: (len(b) - i + 1) * x))::BIGINT AS later FROM (SELECT p_partkey, list_transform(string_split(p_name, ''), lambda c: ascii(c)::BIGINT) AS b FROM part))"""
+
+
+@query(_HASHES)
 def enc_hashes(t):
     c = F.col("p_name")
     return t.part.select("p_partkey", *[f(c).alias(f"h{i}") for i, f in enumerate((encoding.djb2, encoding.sdbm, encoding.fnv1a32, encoding.adler32, encoding.fletcher16, encoding.crc8, encoding.crc16))], encoding.crc32(c).alias("crc32"))
