@@ -263,18 +263,41 @@ def _verified(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame
     return both.where((total > 0) & (common >= F.lit(similarity) * total - 1e-9)).select("a", "b")
 
 
+#: Bits that a text's shingles toggle, in longs of 64. Two texts' shingles differ in at least as many as their bits do.
+PARITY = tuple(f"p{i}" for i in range(8))
+
+
+def _with_parity(held: DataFrame) -> DataFrame:
+    """``held`` (node, root, shingles) with the size of the shingles and the parity of those that fall on each of 512 bits."""
+    bits = 64 * len(PARITY)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
+                lists = part.column("shingles")
+                size = np.diff(lists.offsets.to_numpy())
+                at = np.repeat(np.arange(part.num_rows), size) * bits + (lists.flatten().to_numpy() & (bits - 1))
+                odd = (np.bincount(at, minlength=part.num_rows * bits) & 1).astype(np.uint8).reshape(-1, bits)
+                longs = np.packbits(odd, axis=1, bitorder="little").view(np.int64)
+                arrays = [part.column("node"), part.column("root"), lists, pa.array(size, pa.int32()), *[pa.array(longs[:, i]) for i in range(len(PARITY))]]
+                yield pa.RecordBatch.from_arrays(arrays, names=["node", "root", "shingles", "size", *PARITY])
+
+    return held.select("node", "root", "shingles").mapInArrow(run, "node long, root long, shingles array<int>, size int, " + ", ".join(f"{c} long" for c in PARITY))
+
+
 def pairs_of_crowd(seen: DataFrame, crowd: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """(a, b): roots of any two texts of ``crowd`` (node) that ``roots`` (node, root) leave apart and whose shingles' Jaccard similarity reaches ``similarity``.
 
     Nothing is sampled or capped: the shingles that such a pair has in common stand under
     more than one root, and are a share ``similarity`` of either text's at least. So texts with
     fewer of those go, and of the others the rarest of them, as many as can all be missing
-    in the other text and one more, are equi-joined. A pair goes if what is left behind the
-    shingle that it shares is too little; the rest is verified.
+    in the other text and one more, are equi-joined. A pair goes in the join if what is left behind the
+    shingle that it shares is too little, or if more bits of its parities differ than shingles may; the rest is verified.
+    Neither takes a pair that would pass.
     """
     held = seen.select("node", "shingles").join(crowd, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    held = keep(held.join(roots, "node", "left").select("node", "shingles", F.coalesce("root", "node").alias("root")), "simhash-crowd")
-    rows = held.select("node", "root", F.size("shingles").alias("size"), F.explode("shingles").alias("s"))
+    held = keep(_with_parity(held.join(roots, "node", "left").select("node", "shingles", F.coalesce("root", "node").alias("root"))), "simhash-crowd")
+    rows = held.select("node", "root", "size", F.explode("shingles").alias("s"))
     across = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("s", "n")
     ranked = rows.join(across, "s").groupBy("node").agg(F.first("root").alias("root"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "s"))).alias("found"))
     least = F.ceil(F.lit(similarity) * F.col("size") - 1e-9).cast("int")
@@ -283,11 +306,14 @@ def pairs_of_crowd(seen: DataFrame, crowd: DataFrame, roots: DataFrame, similari
     first = keep(first.select("node", "root", "size", (F.col("c") - F.col("at")).alias("behind"), F.col("x.s").alias("s")), "simhash-rarest")
     # two texts of unlike roots are not both of the root that most texts under the shingle have
     by_root = first.groupBy("s", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("s").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1").select("s", "main")
-    names = ("node", "root", "size", "behind")
+    names = ("node", "root", "size", "behind", *PARITY)
+    first = first.join(held.select("node", *PARITY), "node")
     side = lambda df, p: df.select("s", *[F.col(c).alias(f"{p}_{c}") for c in names])
     few = side(first.join(by_root, "s").where("root <> main"), "x")
     needed = F.lit(similarity / (1 + similarity)) * (F.col("x_size") + F.col("y_size")) - 1e-9
-    alike = few.join(side(first, "y").withColumnRenamed("s", "t"), (F.col("s") == F.col("t")) & (F.col("x_root") != F.col("y_root")) & (F.least("x_behind", "y_behind") >= needed))
+    apart = sum((F.bit_count(F.col(f"x_{p}").bitwiseXOR(F.col(f"y_{p}"))) for p in PARITY), F.lit(0))
+    close = apart <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("x_size") + F.col("y_size")) + 1e-6
+    alike = few.join(side(first, "y").withColumnRenamed("s", "t"), (F.col("s") == F.col("t")) & (F.col("x_root") != F.col("y_root")) & (F.least("x_behind", "y_behind") >= needed) & close)
     pairs = keep(alike.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct(), "simhash-apart")
     root = lambda n, to: held.select(F.col("node").alias(n), F.col("root").alias(to))
     return _verified(pairs, held, similarity).join(root("a", "x"), "a").join(root("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()

@@ -110,6 +110,23 @@ def test_large_groups_are_linked_whole(make_docs):
     assert [rows[i] for i in range(len(texts))] == partition_wide(texts)
 
 
+def test_a_crowd_of_nearly_similar_texts_is_not_verified_in_all_pairs(spark, monkeypatch):
+    """Pairs too far apart by the parities of their shingles are not made, and none that is similar enough is lost."""
+    rng = random.Random(10)
+    pool = [rng.randrange(-(1 << 31), 1 << 31) for _ in range(200)]
+    sets = [set(rng.sample(pool, 170)) for _ in range(40)]
+    sets += [set(rng.sample(sorted(s), 165)) | {rng.randrange(1 << 31) for _ in range(3)} for s in sets[:10]]
+    seen = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "node long, shingles array<int>")
+    made, verified = [], simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda pairs, held, similarity: made.append(pairs.count()) or verified(pairs, held, similarity))
+    with simhash.scratch():
+        got = {(r.a, r.b) for r in simhash.pairs_of_crowd(seen, seen.select("node"), spark.createDataFrame([], "node long, root long"), 0.8).collect()}
+    far = {(i, j) for j in range(len(sets)) for i in range(j)}
+    alike = {(i, j) for i, j in far if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert got == alike and len(alike) >= 10
+    assert made[0] < len(far) / 4
+
+
 def test_links_in_buckets_of_any_size(spark):
     rng = random.Random(3)
     fps = set()
