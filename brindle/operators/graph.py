@@ -1,27 +1,43 @@
 """Graph operators over edges (src, dst, weight), as joins and aggregations that iterate to a fixpoint.
 
-Each round's rows are checkpointed, reliably where spark.checkpoint.dir is set, so plans stay short.
+Each round's rows are written to spark.checkpoint.dir, so plans stay short.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Lineage cut by a checkpoint in the shared folder that the cluster names; where none is named and all tasks run in this process, as in tests, in one of our own."""
+    """Lineage cut by writing the rows to the shared folder that the cluster names; where none is named and all tasks run in this process, as in tests, to one of our own.
+
+    Rows are read back as files, whose size is known: a Spark checkpoint hands on the estimate, and that of a join is the product of
+    its sides, so in a loop its digits double with each round until they fill the driver's memory.
+    """
     spark, sc = df.sparkSession, df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="brindle-")
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        import tempfile
+
+        folder = "file://" + tempfile.mkdtemp(prefix="brindle-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{folder.rstrip('/')}/brindle-{sc.applicationId}-graph/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._brindle_cut = path
+    return out
+
+
+def _drop(df: DataFrame) -> None:
+    """Delete what _cut wrote for ``df``; nothing may read it any more."""
+    spark = df.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(df._brindle_cut)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -46,8 +62,10 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         up = new.select(F.col("node").alias("_n"), F.col("component").alias("_up"))
         new = _cut(new.join(up, F.col("component") == F.col("_n"), "left").select("node", F.least("component", F.coalesce("_up", "component")).alias("component")))
         changed = new.join(label.select("node", F.col("component").alias("_old")), "node").where("component <> _old").limit(1).count()
+        _drop(label)
         label = new
         if not changed:
+            _drop(e)
             return label
     raise RuntimeError("components did not settle")
 

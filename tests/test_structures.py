@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +35,16 @@ def test_graphs(edges):
     assert sum(r.values()) == pytest.approx(1) and r["c"] > r["a"] == r["b"]
 
 
+def test_rows_cut_in_a_loop_have_their_own_size(spark):
+    """Not an estimate from the joins before, whose digits double with each round in the driver's memory."""
+    rows = spark.range(20).select(F.col("id").alias("node"), F.col("id").alias("up"))
+    for _ in range(4):
+        other = rows.select(F.col("node").alias("n"), F.col("up").alias("u"))
+        rows = graph._cut(rows.join(other, F.col("up") == F.col("n")).select("node", F.least("up", "u").alias("up")))
+    assert rows._jdf.queryExecution().analyzed().stats().sizeInBytes().bit_length() < 40
+    assert rows.count() == 20
+
+
 def test_trees(spark):
     t = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("z", "gone")], "id string, up string")
     assert sorted(map(tuple, arrays.walk(t, "id", "up").collect())) == [("a", "a", 0), ("b", "a", 1), ("c", "a", 2), ("z", "z", 0)]
