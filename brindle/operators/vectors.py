@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -116,27 +118,59 @@ def kmeans(df: DataFrame, vector: str, k: int, max_iter: int = 20, tol: float =
 
 
 def dbscan(df: DataFrame, id: str, vector: str, eps: float, least: int) -> DataFrame:
-    """id, cluster (the smallest core id in it, null for noise) and core. Neighbours come from cells of side ``eps``, joined with the cells around them; for few dimensions."""
-    from ..operators.graph import components
-
-    dims = len(df.select(vector).first()[0]) if df.limit(1).count() else 0
-    cell = F.array(*[F.floor(F.col(vector)[i] / eps).cast("long") for i in range(dims)])
-    points = df.select(F.col(id).alias("id"), F.col(vector).alias("v"), cell.alias("cell"))
-    around = F.lit(None)
-    shifts = [[]]
-    for _ in range(dims):
-        shifts = [s + [d] for s in shifts for d in (-1, 0, 1)]
-    around = F.array(*[F.array(*[F.col("cell")[i] + d for i, d in enumerate(s)]) for s in shifts])
-    a = points.select(F.col("id").alias("a"), F.col("v").alias("va"), F.explode(around).alias("cell"))
-    b = points.select(F.col("id").alias("b"), F.col("v").alias("vb"), "cell")
-    near = a.join(b, "cell").where(maths.euclidean(F.col("va"), F.col("vb")) <= eps).select("a", "b")
-    core = near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(F.col("a").alias("core_id"))
-    links = near.join(core, near["a"] == core["core_id"]).select("a", "b")
-    inner = links.join(core, links["b"] == core["core_id"]).where("a < b").select("a", "b")
-    label = core.join(components(inner), F.col("core_id") == F.col("node"), "left").select("core_id", F.coalesce("component", "core_id").alias("cluster"))
-    edge = links.join(label, links["a"] == label["core_id"]).groupBy(F.col("b").alias("id")).agg(F.min("cluster").alias("cluster"))
-    own = label.select(F.col("core_id").alias("id"), F.col("cluster").alias("own"))
-    return points.select("id").join(edge, "id", "left").join(own, "id", "left").select(F.col("id").alias(id), F.coalesce("own", "cluster").alias("cluster"), F.col("own").isNotNull().alias("core"))
+    """id, cluster (the smallest core id in it, null for noise) and core; for few dimensions.
+
+    Equal vectors are one point. Points of a cell of side eps / sqrt(dimensions) are all within eps of each other, so in a cell of
+    ``least`` rows all are core, and only points of emptier cells are compared with those around them: fewer than ``least`` rows a cell.
+    Cells are linked by their outermost core points; cells that this leaves in unlike clusters by all their core points in reach of each other.
+    """
+    from ..operators.graph import _cut, components
+
+    v = F.col("v")
+    points = df.select(F.col(id).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    whole = points.where(v.isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+    first = whole.select("v").first()
+    dims = range(len(first[0]) if first else 0)
+    side = eps / math.sqrt(len(dims) or 1) * (1 - 1e-9)
+    far = math.floor(eps / side) + 1
+    shifts = [s for s in product(range(-far, far + 1), repeat=len(dims)) if sum(max(0, abs(d) - 1) ** 2 for d in s) * side**2 <= eps**2 * (1 + 1e-6)]
+    around = lambda some: F.explode(F.array(*[F.array(*[F.col("cell")[i] + F.lit(d).cast("long") for i, d in enumerate(s)]) for s in some]))
+    near = lambda a, b: maths.euclidean(a, b) <= eps
+
+    cell = F.array(*[F.floor(v[i] / side).cast("long") for i in dims])
+    distinct = _cut(whole.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).withColumn("cell", cell))
+    distinct = _cut(distinct.join(distinct.groupBy("cell").agg(F.sum("n").alias("held")), "cell"))
+    sparse = distinct.where(F.col("held") < least)
+    other = distinct.select("cell", F.col("v").alias("w"), F.col("n").alias("m"))
+    found = sparse.select("v", around(shifts).alias("cell")).join(other, "cell").where(near(v, F.col("w"))).groupBy("v").agg(F.sum("m").alias("m"))
+    sparse = _cut(sparse.join(found, "v").select("v", "id", "cell", (F.col("m") >= least).alias("core")))
+    core = distinct.where(F.col("held") >= least).select("v", "id", "cell").unionAll(sparse.where("core").select("v", "id", "cell"))
+
+    ends = F.array(*[by(v, v[i]) for i in dims for by in (F.min_by, F.max_by)])
+    cells = _cut(core.groupBy("cell").agg(F.min("id").alias("label"), ends.alias("ends"), *[F.array(*[of(v[i]) for i in dims]).alias(n) for n, of in (("low", F.min), ("high", F.max))]))
+    side_of = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("cell", "label", "ends", "low", "high")]
+    ahead = [s for s in shifts if s > (0,) * len(dims)]
+    pairs = cells.select(*side_of("a"), around(ahead).alias("cell")).join(cells.select("cell", *side_of("b")), "cell").drop("cell") if ahead else None
+    cluster = cells.select("cell", F.col("label").alias("cluster"))
+    if pairs is not None:
+        linked = F.exists("a_ends", lambda x: F.exists("b_ends", lambda y: near(x, y)))
+        pairs = _cut(pairs.withColumn("linked", linked).drop("a_ends", "b_ends"))
+        to = lambda roots, n: roots.select(F.col("node").alias("cluster"), F.col("component").alias(n))
+        roots = components(pairs.where("linked").select("a_label", "b_label"))
+        cluster = cluster.join(to(roots, "root"), "cluster", "left").select("cell", F.coalesce("root", "cluster").alias("cluster"))
+        of = lambda p: cluster.select(F.col("cell").alias(f"{p}_cell"), F.col("cluster").alias(f"{p}_cluster"))
+        left = _cut(pairs.where("not linked").join(of("a"), "a_cell").join(of("b"), "b_cell").where("a_cluster <> b_cluster"))
+        if left.limit(1).count():
+            gap = lambda p, box: F.sqrt(sum((F.pow(F.greatest(F.col(f"{box}_low")[i] - F.col(p)[i], F.col(p)[i] - F.col(f"{box}_high")[i], F.lit(0.0)), 2) for i in dims), F.lit(0.0)))
+            reach = eps * (1 + 1e-9)
+            x = left.join(core.select(F.col("cell").alias("a_cell"), F.col("v").alias("x")), "a_cell").where(gap("x", "b") <= reach)
+            both = x.join(core.select(F.col("cell").alias("b_cell"), F.col("v").alias("y")), "b_cell").where((gap("y", "a") <= reach) & near(F.col("x"), F.col("y")))
+            more = components(both.select("a_cluster", "b_cluster").distinct())
+            cluster = cluster.join(to(more, "more"), "cluster", "left").select("cell", F.coalesce("more", "cluster").alias("cluster"))
+    core = core.join(cluster, "cell")
+    edge = sparse.where("not core").select("v", around(shifts).alias("cell")).join(core.select("cell", "cluster", F.col("v").alias("w")), "cell").where(near(v, F.col("w"))).groupBy("v").agg(F.min("cluster").alias("cluster"))
+    label = _cut(core.select("v", "cluster", F.lit(True).alias("core")).unionAll(edge.select("v", "cluster", F.lit(False))))
+    return points.join(label, "v", "left").select(F.col("id").alias(id), "cluster", F.coalesce("core", F.lit(False)).alias("core"))
 
 
 def naive_bayes_train(docs: DataFrame, text: str, label: str) -> tuple[DataFrame, DataFrame]:

@@ -99,6 +99,30 @@ def test_spanning_tree_of_random_graphs(spark):
     assert len(tree) == len(want) and sum(r.weight for r in tree) == sum(want)
 
 
+def test_dbscan_of_copies_and_dense_cells(spark, monkeypatch):
+    """Against brute force; points of dense cells and copies are not paired with each other."""
+    rng = random.Random(6)
+    flat = [[rng.choice([0, 3, 6]) + rng.random() * s, rng.random() * s] for s in (0.5, 2.5) for _ in range(60)]
+    rows = [(i, v) for i, v in enumerate(flat + [[9.0, 9.0]] * 150 + [[9.3 + rng.random() / 9, 9.3] for _ in range(50)] + [[20.0, 20.0]])]
+    for eps, least in ((0.3, 5), (0.7, 4)):
+        near = {i: [j for j, w in rows if ((v[0] - w[0]) ** 2 + (v[1] - w[1]) ** 2) ** 0.5 <= eps] for i, v in rows}
+        core = {i for i, js in near.items() if len(js) >= least}
+        label = {i: i for i in core}
+        for _ in core:
+            new = {i: min(label[j] for j in near[i] if j in core) for i in core}
+            if new == label:
+                break
+            label = new
+        want = {i: (label.get(i, min((label[j] for j in near[i] if j in core), default=None)), i in core) for i, _ in rows}
+        frame = spark.createDataFrame(rows, "id long, v array<double>").repartition(5)
+        assert {r.id: (r.cluster, r.core) for r in vectors.dbscan(frame, "id", "v", eps, least).collect()} == want
+    made, real = [], graph.components
+    monkeypatch.setattr(graph, "components", lambda edges: made.append(edges.count()) or real(edges))
+    many = spark.createDataFrame([(i, [float(i % 20) / 100, 0.0]) for i in range(400)], "id long, v array<double>")
+    assert {(r.cluster, r.core) for r in vectors.dbscan(many, "id", "v", 0.3, 5).collect()} == {(0, True)}
+    assert sum(made) < 400
+
+
 def test_equal_scores_keep_the_smaller_ids(spark):
     rows = spark.createDataFrame([(9 - i, [1.0, 0.0]) for i in range(10)], "id int, v array<double>").repartition(3)
     got = vectors.search_many(rows.where("id = 5"), rows, "id", "v", 3).collect()
