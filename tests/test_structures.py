@@ -229,3 +229,18 @@ def test_walks_and_sweeps(spark):
     pts = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.1, 9.0), (3, 5.0, 5.0), (4, 5.5, 5.5), (5, 9.0, 0.0)], "id int, x double, y double")
     r = spatial.closest_pair(pts, "id", "x", "y").first()
     assert (r.a, r.b) == (3, 4) and spatial.closest_pair(pts.limit(1), "id", "x", "y").count() == 0
+
+
+def test_box_links(spark):
+    """Copies are one class and no pairs, and each row has the number of boxes that its own meets."""
+    from brindle import registry
+
+    rng = random.Random(11)
+    box = lambda: (x := rng.uniform(0, 9), y := rng.uniform(0, 9), x + rng.uniform(0, 2), y + rng.uniform(0, 2))
+    boxes = [box() for _ in range(60)]
+    boxes += [boxes[0]] * 20 + [boxes[5]] * 3 + [(None, 1.0, 2.0, 2.0)] * 2
+    meet = lambda a, b: None not in a + b and a[0] <= b[2] and b[0] <= a[2] and a[1] <= b[3] and b[1] <= a[3]
+    want = {i: (boxes.index(a), sum(meet(a, b) for j, b in enumerate(boxes) if i != j)) for i, a in enumerate(boxes)}
+    df = spark.createDataFrame([(i, *b) for i, b in enumerate(boxes)], "id long, x0 double, y0 double, x1 double, y1 double")
+    assert {r.id: (r.class_id, r.links) for r in spatial.box_links(df, 1.5).collect()} == want
+    assert registry.QUERIES["geo_box_join"](spark, "/root/testdata/sf0.001").columns == ["id", "class_id", "links"]
