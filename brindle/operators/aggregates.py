@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -249,8 +250,9 @@ def mse(predicted: str, target: str) -> Column:
     return F.avg(F.pow(F.col(predicted) - F.col(target), 2))
 
 
-def cross_entropy(predicted: str, target: str, eps: float = 1e-15) -> Column:
-    """Binary, probabilities clipped by ``eps``."""
-    p = F.greatest(F.least(F.col(predicted), F.lit(1 - eps)), F.lit(eps))
+def cross_entropy(predicted: str, target: str, eps: float | None = 1e-15) -> Column:
+    """Binary, probabilities clipped by ``eps``; where it is None, only as far as a logarithm of 0 would come up."""
+    low, high = (sys.float_info.min, 1 - sys.float_info.epsilon / 2) if eps is None else (eps, 1 - eps)
+    p = F.greatest(F.least(F.col(predicted), F.lit(high)), F.lit(low))
     t = F.col(target)
     return -F.avg(t * F.log(p) + (1 - t) * F.log(1 - p))

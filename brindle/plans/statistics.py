@@ -129,7 +129,7 @@ def stat_bootstrap(t):
 @query("WITH s AS (SELECT 1 / (1 + exp(-(value - 50) / 20)) AS p, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS y, value FROM events) SELECT round(avg(pow(p - y, 2)), 6) AS mse, round(-avg(y * ln(p) + (1 - y) * ln(1 - p)), 6) AS loss, round(avg(greatest(value - 50, 0)), 6) AS relu FROM s")
 def stat_losses(t):
     rows = t.events.select(agg.sigmoid((F.col("value") - 50) / 20).alias("p"), F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("y"), agg.relu(F.col("value") - 50).alias("u"))
-    return rows.agg(F.round(agg.mse("p", "y"), 6).alias("mse"), F.round(agg.cross_entropy("p", "y"), 6).alias("loss"), F.round(F.avg("u"), 6).alias("relu"))
+    return rows.agg(F.round(agg.mse("p", "y"), 6).alias("mse"), F.round(agg.cross_entropy("p", "y", None), 6).alias("loss"), F.round(F.avg("u"), 6).alias("relu"))
 
 
 @query()

@@ -79,3 +79,15 @@ def test_outer_joins_keep_every_order_and_customer(spark, tmp_path):
     spark.createDataFrame([(i, f"c{i}") for i in range(11)], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
     rows = registry.QUERIES["join_full"](spark, str(tmp_path)).collect()
     assert {r.o_orderkey for r in rows} == {*range(40), None} and {r.c_custkey for r in rows} == {*range(0, 22, 2), None}
+
+
+def test_losses_of_probabilities_near_one(spark, tmp_path):
+    """Against the query's SQL, which clips nothing."""
+    import duckdb
+
+    rows = [(i, "purchase" if i % 3 else "view", v) for i, v in enumerate([0.0, 12.5, 745.0, 750.0, 760.0, 741.5, -650.0, -700.0, 55.0])]
+    spark.createDataFrame(rows, "event_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = registry.QUERIES["stat_losses"](spark, str(tmp_path)).first()
+    assert tuple(got) == pytest.approx(con.execute(registry.SQL["stat_losses"]).fetchall()[0], abs=2e-6)
